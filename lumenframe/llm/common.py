@@ -249,6 +249,11 @@ def chunk_count(spark: SparkSession) -> int:
     return partitions(spark) * CHUNKS_PER_PARTITION
 
 
+def bucket_count(spark: SparkSession) -> int:
+    """Fewer than chunks: each chunk sends a row to each bucket, and a row should hold many keys."""
+    return partitions(spark)
+
+
 def chunk_of(n: int, *columns) -> F.Column:
     """The chunk of a row, by a hash of its columns.
 

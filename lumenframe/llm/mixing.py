@@ -2,7 +2,7 @@
 
 A source's target says how often each of its documents is taken: the whole part for certain, the rest by a sample
 of fixed size.  For it documents are ranked by random odds over inclusion odds, u / (1 - u) over p / (1 - p), and taken
-in that order until the words come nearest to what is left of the target.
+in that order as long as their words fit what is left of the target; one more, of a fitting size, fills the gap.
 
 The cut is found without sorting a source: ranks fall into BINS bins, whose words are summed before the
 shuffle; only the documents of the one bin in which the target lies are ranked one by one.
@@ -66,11 +66,23 @@ def cuts(narrow: DataFrame, most: int = MOST_COPIES) -> DataFrame:
     at = at.where(F.col("before") <= F.col("left")).groupBy("s", "left").agg(F.max("bin").alias("b"), F.max_by("before", "bin").alias("before"))
     near = narrow.join(at, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
     mine = Window.partitionBy("source").orderBy("rank").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy("source", "rank")
-    near = near.withColumn("own", F.sum("size").over(same)).withColumn("upto", F.sum("size").over(mine))
-    good = F.col("before") + F.col("upto") - F.col("own") / 2 <= F.col("left")
-    last = near.groupBy("source", "b").agg(F.max(F.when(good, F.col("rank"))).alias("last")).select(F.col("source").alias("s"), F.col("b").alias("cut_bin"), F.coalesce("last", F.lit(-1.0)).alias("cut_rank"))
-    return plan.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "left")
+    near = near.withColumn("upto", F.col("before") + F.sum("size").over(mine))
+    fits = F.col("upto") <= F.col("left")
+    last = near.groupBy(F.col("source").alias("s"), F.col("b").alias("cut_bin"), "left").agg(
+        F.coalesce(F.max(F.when(fits, F.col("rank"))), F.lit(-1.0)).alias("cut_rank"), F.coalesce(F.max(F.when(fits, F.col("upto"))), F.min("before")).alias("have")
+    )
+    last = last.withColumn("gap", F.col("left") - F.col("have")).drop("left", "have").checkpoint()
+    # One more document, of those left that whose size is nearest the gap, if it makes it smaller.
+    rest = narrow.join(last, F.col("source").eqNullSafe(F.col("s"))).where(~taken_by("bin", "rank") & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")))
+    one = rest.groupBy(F.col("source").alias("t")).agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("d"), "rank"))["rank"].alias("extra_rank"))
+    plan = plan.join(last, F.col("source").eqNullSafe(F.col("s")), "left").join(one, F.col("source").eqNullSafe(F.col("t")), "left")
+    return plan.select("source", "source_size", "target", "whole", "cut_bin", "cut_rank", "extra_rank")
+
+
+def taken_by(bin_: str | Column, rank_: str | Column) -> Column:
+    """Whether a rank lies before the cut of its source."""
+    bin_, rank_ = (F.col(x) if isinstance(x, str) else x for x in (bin_, rank_))
+    return (bin_ < F.col("cut_bin")) | (bin_ == F.col("cut_bin")) & (rank_ <= F.col("cut_rank"))
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 9, preference: Column | None = None) -> DataFrame:
@@ -82,9 +94,10 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: s
     size, source_size, target, copies, taken, rank_, bin_, s = c.fresh(docs, "size", "source_size", "target", "copies", "taken", "_rank", "_bin", "_source")
     rows = docs.withColumn(size, word_count(text)).withColumn(rank_, rank(seed, [doc_id, text], preference))
     narrow = c.stored(rows.select(F.col(source).alias("source"), F.col(size).alias("size"), F.col(rank_).alias("rank")), "mix")
-    plan = cuts(narrow).select(F.col("source").alias(s), F.col("source_size").alias(source_size), F.col("target").alias(target), "whole", "cut_bin", "cut_rank")
-    plan = plan.withColumnsRenamed({"whole": copies, "cut_bin": bin_, "cut_rank": taken})
-    more = (F.floor(F.col(rank_) * BINS) < F.col(bin_)) | (F.floor(F.col(rank_) * BINS) == F.col(bin_)) & (F.col(rank_) <= F.col(taken))
+    cut = F.struct("cut_bin", "cut_rank", "extra_rank").alias(bin_)
+    plan = cuts(narrow).select(F.col("source").alias(s), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("whole").alias(copies), cut)
+    at, own = F.floor(F.col(rank_) * BINS), F.col(bin_)
+    more = (at < own["cut_bin"]) | (at == own["cut_bin"]) & (F.col(rank_) <= own["cut_rank"]) | (F.col(rank_) == own["extra_rank"])
     # The plan has a row for each source; Spark sends it to all tasks if it is small, and splits a hot source if not.
     rows = rows.join(plan, F.col(source).eqNullSafe(F.col(s)), "left")
     rows = rows.withColumn(copies, F.least(F.col(copies) + F.coalesce(more.cast("int"), F.lit(0)), F.lit(MOST_COPIES)))

@@ -1,15 +1,18 @@
 """Exact n-gram Jaccard join by signature trees.
 
-A tree over all documents would not fit a task, and its upper nodes would prune nothing; so the
-documents are first dealt to groups that hold every pair which can be linked, and one tree is grown in
-each.  Two sets with a Jaccard similarity of t or more share a token among the first
-|a| - ceil(t |a|) + 1 of each, in any one order; in ours the frequent come last.  Tokens with the same
-members make one group, so copies meet once and not once a token.  Nothing is estimated: the order
-(from counts over all texts) decides only how large the groups are.
-
-Copies are collapsed first.  A group of over BLOCK members is dealt to blocks that share some members,
-its leaders, whose trees link most of a family; members that are not linked with the family then
-meet every block of it.  Components are those of the links found.
+A tree over all documents would not fit a task, and its upper nodes would prune nothing; so documents are
+dealt to groups that hold every pair which can be linked, and a tree is grown in each.
+
+1. Two sets with a Jaccard similarity of t or more share a token among the first |a| - ceil(t |a|) + 1 of each, in
+   any one order; in ours the frequent come last (the order, from counts over all texts, decides only how large groups
+   are).  Tokens with the same members make one group, so copies meet once and not once a token.
+2. Each group's tree is traversed with bitmaps and sizes alone.  Pairs that may be linked are connected; the components
+   of that are exact candidates: no link leaves them, and unrelated texts that share a passage are apart.
+3. Each document sends its set once, to its candidate component, whose tree is traversed again and compares sets.
+4. A component of over BLOCK members is dealt to blocks that share some members, its leaders, whose trees link most
+   of a family; members that are not linked with it then meet every block.  Components are those of the links found.
+
+Copies are collapsed first.  A token of over MANY members connects them all without a tree.
 """
 
 from __future__ import annotations
@@ -25,15 +28,14 @@ from pyspark.sql import functions as F
 
 from . import common as c
 from .components import components
-from .signature_tree import links
+from .signature_tree import bitmap, links, possible_links
 
-BLOCK = 2048
+BLOCK, MANY = 2048, 16384
 FREQUENT = 1 << 17  # tokens ranked by their count; 2 MB
 _FEW = 8
 _WORDS_AT_ONCE = 2_000_000
 _SENT = "bucket int, chunk int, tokens binary, members binary, counts binary"
 _FOUND = "chunk int, tokens binary, groups binary, counts binary"
-_ROWS = "kind string, grp long, blocks int, block int, leader boolean, node string, other string, n long, tokens binary"
 
 
 def shingles(column, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,8 +161,8 @@ def _found(t: pa.Table) -> pa.Table:
     return _table(_FOUND, [(k, c.pack(tokens[s]), c.pack(group[s]), c.pack(total[s])) for k, s in c.slices(chunk)])
 
 
-def _members(text, n, num, den, order, most, t: pa.Table, told: pa.Table) -> pa.Table:
-    """A row for each representative, and one for each group that it is in; leaders go to each block of a large group."""
+def _members(text, n, num, den, order, many, t: pa.Table, told: pa.Table) -> pa.Table:
+    """A row for each representative, and one for each group that it is in."""
     out: list = []
     if t.num_rows and told.num_rows:
         x = _Prefixes(t, {s for s in told["node"].to_pylist() if s is not None}, text, n, num, den, order)
@@ -171,7 +173,7 @@ def _members(text, n, num, den, order, most, t: pa.Table, told: pa.Table) -> pa.
             tokens, group, total = tokens[o], group[o], total[o]
         for node, a, b, prefix in x:
             size = int(b - a)
-            out.append(("size", None, None, None, None, node, None, size, None))
+            out.append(("size", None, node, None, size, None, None))
             if not size or not found.num_rows:
                 continue
             prefix.sort()
@@ -181,48 +183,93 @@ def _members(text, n, num, den, order, most, t: pa.Table, told: pa.Table) -> pa.
             if not len(at):
                 continue
             groups, first = np.unique(group[at], return_index=True)
-            packed, own = c.pack(x.sets[a:b]), xxhash.xxh3_64_intdigest(node, 1)
+            packed, least = c.pack(bitmap(x.sets[a:b])), int(x.sets[a].view(np.int64))
             for g, members in zip(groups.view(np.int64).tolist(), total[at][first].tolist(), strict=True):
-                blocks = -(-members // most)
-                lead = blocks > 1 and (own ^ g) * 0x9E3779B97F4A7C15 % (1 << 64) < (1 << 66) // members
-                for k in range(blocks) if lead else [own % blocks]:
-                    out.append(("member", g, blocks, k, lead, node, None, size, packed))
-    return _table(_ROWS, out)
+                if members > many:
+                    out.append(("edge", None, node, f"g{g}", None, None, None))
+                else:
+                    out.append(("member", g, node, None, size, least, packed))
+    return _table(_LIGHT, out)
 
 
-def _join(num: int, den: int, straggling: bool, batches):
-    """Links of each block, from rows sorted by group and block; other rows, and those of large groups, pass."""
+_LIGHT = "kind string, grp long, node string, other string, n long, least long, bits binary"
+
+
+def _possible(num: int, den: int, batches):
+    """Edges between members of a group that may be linked, from rows sorted by group; other rows pass."""
     key, held, out = None, [], []
 
     def done():
-        if len(held) < 2:
-            return
-        sets = [np.frombuffer(r["tokens"], c.U) for r in held]
-        wanted = np.array([r["leader"] for r in held]) if straggling else None
-        for i, j in links(sets, num, den, wanted):
-            out.append(("link", None, None, None, None, held[i]["node"], held[j]["node"], None, None))
+        if len(held) > 1:
+            maps = [np.frombuffer(r["bits"], c.U) for r in held]
+            for i, j in possible_links(maps, np.array([r["n"] for r in held], np.int64), np.array([r["least"] for r in held], np.int64).view(np.uint64), num, den):
+                out.append(("edge", None, held[i]["node"], held[j]["node"], None, None, None))
 
     for b in batches:
         for r in b.to_pylist():
             if r["kind"] != "member":
                 out.append(tuple(r.values()))
+            else:
+                if key != r["grp"]:
+                    done()
+                    key, held = r["grp"], []
+                held.append(r)
+        yield from _table(_LIGHT, out).to_batches()
+        out = []
+    done()
+    yield from _table(_LIGHT, out).to_batches()
+
+
+def _sets(text, n, most, t: pa.Table, told: pa.Table) -> pa.Table:
+    """The set of each member of a candidate component; a leader's goes to each block."""
+    out: list = []
+    if t.num_rows and told.num_rows:
+        want = dict(zip(told["node"].to_pylist(), zip(told["grp"].to_pylist(), told["members"].to_pylist(), strict=True), strict=True))
+        nodes = t["node"].to_pylist()
+        take = [i for i, s in enumerate(nodes) if s in want]
+        sets, at = shingles(t[text].take(pa.array(take, pa.int64())), n)
+        for k, i in enumerate(take):
+            found = want.pop(nodes[i], None)
+            if found is None:
                 continue
+            (g, members), own = found, xxhash.xxh3_64_intdigest(nodes[i], 1)
+            blocks, packed, size = -(-members // most), c.pack(sets[at[k] : at[k + 1]]), int(at[k + 1] - at[k])
+            lead = blocks > 1 and own * 0x9E3779B97F4A7C15 % (1 << 64) < (1 << 66) // members
+            for block in range(blocks) if lead else [own % blocks]:
+                out.append(("member", g, blocks, block, lead, nodes[i], None, size, packed))
+    return _table(_ROWS, out)
+
+
+_ROWS = "kind string, grp string, blocks int, block int, leader boolean, node string, other string, n long, tokens binary"
+
+
+def _join(num: int, den: int, straggling: bool, batches):
+    """Links of each block, from rows sorted by group and block; rows of large groups pass once."""
+    key, held, out = None, [], []
+
+    def done():
+        if len(held) > 1:
+            sets = [np.frombuffer(r["tokens"], c.U) for r in held]
+            wanted = np.array([r["leader"] for r in held]) if straggling else None
+            for i, j in links(sets, num, den, wanted):
+                out.append(("link", None, None, None, None, held[i]["node"], held[j]["node"], None, None))
+
+    for b in batches:
+        for r in b.to_pylist():
             if key != (k := (r["grp"], r["block"])):
                 done()
                 key, held = k, []
             held.append(r)
             if r["blocks"] > 1 and not straggling and (not r["leader"] or r["block"] == 0):
                 out.append(tuple(r.values()))
-            if len(out) > 2000:
-                yield from _table(_ROWS, out).to_batches()
-                out = []
+        yield from _table(_ROWS, out).to_batches()
+        out = []
     done()
     yield from _table(_ROWS, out).to_batches()
 
 
 def _linked(rows: DataFrame, num: int, den: int, straggling: bool = False) -> DataFrame:
-    n = c.partitions(rows.sparkSession)
-    dealt = rows.repartition(n, "grp", "block", F.when(F.col("grp").isNull(), F.col("node"))).sortWithinPartitions("grp", "block")
+    dealt = rows.repartition(c.partitions(rows.sparkSession), "grp", "block").sortWithinPartitions("grp", "block")
     return dealt.mapInArrow(partial(_join, num, den, straggling), _ROWS)
 
 
@@ -242,7 +289,7 @@ def _stragglers(big: DataFrame, parts: DataFrame, num: int, den: int, most: int)
     return _linked(everyone.select(*columns).unionByName(loose.select(*columns)), num, den, True)
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, block: int = BLOCK) -> DataFrame:
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, block: int = BLOCK, many: int = MANY) -> DataFrame:
     """`node` (of doc_id and text), `n_shingles` and `component_id` of every distinct text with words.
 
     Sets hold the distinct n-word shingles of the text, A-Z lower-cased; fewer words make one shingle.
@@ -262,16 +309,21 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     sent = by_chunk.cogroup(c.dealt(reps).groupBy("chunk")).applyInArrow(partial_arrow(_send, text, n, num, den, order, buckets), _SENT)
     found = c.grouped(sent, _found, _FOUND, "bucket")
     told = reps.unionByName(found, allowMissingColumns=True)
-    rows = by_chunk.cogroup(c.dealt(told).groupBy("chunk")).applyInArrow(partial_arrow(_members, text, n, num, den, order, block), _ROWS)
-    joined = c.stored(_linked(rows, num, den), "jaccard")
-    edges = joined.where("kind = 'link'").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    parts = components(edges)
+    rows = by_chunk.cogroup(c.dealt(told).groupBy("chunk")).applyInArrow(partial_arrow(_members, text, n, num, den, order, many), _LIGHT)
+    rows = rows.repartition(c.partitions(spark), "grp", F.when(F.col("grp").isNull(), F.col("node"))).sortWithinPartitions("grp")
+    light = c.stored(rows.mapInArrow(partial(_possible, num, den), _LIGHT), "jaccard-candidates")
+    candidates = components(light.where("kind = 'edge'").select(F.col("node").alias("a"), F.col("other").alias("b"))).where("node not like 'g%'").checkpoint()
+    members = candidates.groupBy("component").agg(F.count("*").alias("members"))
+    want = candidates.join(members.where("members > 1"), "component").select("node", F.col("component").alias("grp"), "members", c.chunk_of(chunks, "node").alias("chunk"))
+    sets = by_chunk.cogroup(c.dealt(want).groupBy("chunk")).applyInArrow(partial_arrow(_sets, text, n, block), _ROWS)
+    joined = c.stored(_linked(sets, num, den), "jaccard-links")
+    parts = components(joined.where("kind = 'link'").select(F.col("node").alias("a"), F.col("other").alias("b")))
     big = joined.where("kind = 'member'")
     if not big.isEmpty():
         parts = parts.checkpoint()
         late = _stragglers(big, parts, num, den, block).where("kind = 'link'").select(F.col("node").alias("a"), F.col("other").alias("b"))
         parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
-    sizes = joined.where("kind = 'size'").select("node", F.col("n").alias("n_shingles"))
+    sizes = light.where("kind = 'size'").select("node", F.col("n").alias("n_shingles"))
     return sizes.join(parts, "node", "left").select("node", "n_shingles", id_of(F.coalesce("component", "node")).alias("component_id"))
 
 

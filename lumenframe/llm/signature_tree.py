@@ -11,18 +11,28 @@ from __future__ import annotations
 
 import numpy as np
 
-BITS, FAN = 1024, 8
+FAN, NARROW, WIDE = 8, 512, 8192
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """A set's bitmap as 64-bit words: a power of two of bits, at least two a token within NARROW and WIDE."""
+    bits = min(max(NARROW, 1 << int(2 * len(tokens) - 1).bit_length()), WIDE)
+    out = np.zeros(bits, bool)
+    out[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out).view(np.uint64)
+
+
+def fold(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps of the given width, from those of that width or a wider one."""
+    while maps.shape[-1] > words:
+        half = maps.shape[-1] // 2
+        maps = maps[..., :half] | maps[..., half:]
+    return maps
 
 
 class Tree:
-    def __init__(self, sizes: np.ndarray, tokens: np.ndarray, offsets: np.ndarray):
-        n = len(sizes)
-        rows = np.repeat(np.arange(n), sizes)
-        bits = np.zeros((n, BITS), bool)
-        bits[rows, (tokens % np.uint64(BITS)).astype(np.int64)] = True
-        maps = np.packbits(bits, axis=1).view(np.uint64)
-        hidden = sizes - np.bitwise_count(maps).sum(1)
-        self.levels = [(maps, sizes, sizes, hidden)]
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray):
+        self.levels = [(maps, sizes, sizes, sizes - np.bitwise_count(maps).sum(1, dtype=np.int64))]
         while len(self.levels[-1][1]) > 1:
             maps, low, high, hidden = self.levels[-1]
             at = np.arange(0, len(low), FAN)
@@ -38,41 +48,71 @@ class Tree:
         return sized & (most * (num + den) >= num * least)
 
 
+def possible_links(maps: list[np.ndarray], sizes: np.ndarray, smallest: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs that connect all that could be linked, as far as bitmaps and sizes tell.
+
+    Sets of one width meet each other and those of twice the width, folded: no linked set is wider than that.
+    """
+    widths = np.array([len(m) for m in maps])
+    found: list[tuple[int, int]] = []
+    for w in np.unique(widths):
+        at = np.flatnonzero((widths == w) | (widths == 2 * w))
+        if len(at) > 1:
+            tree = np.stack([fold(maps[i], int(w)) for i in at])
+            found += [(int(at[i]), int(at[j])) for i, j in _traverse(tree, sizes[at], smallest[at], num, den, widths[at] == w, None)]
+    return found
+
+
 def links(sets: list[np.ndarray], num: int, den: int, wanted: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs (i, j) of linked sets that connect all that links connect, and no more than that takes.
 
     wanted: only pairs with at least one set so marked are compared.
     """
-    n = len(sets)
-    sizes0 = np.array([len(s) for s in sets], np.int64)
-    order = np.argsort(np.array([s.min() for s in sets], np.uint64), kind="stable")
-    sizes = sizes0[order]
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    tokens = np.concatenate([sets[i] for i in order])
+    sizes = np.array([len(s) for s in sets], np.int64)
+    maps = [bitmap(s) for s in sets]
+    narrow = min(len(m) for m in maps)
+    if narrow < max(len(m) for m in maps):  # bitmaps of one width, that of the median
+        narrow = int(np.median([len(m) for m in maps]))
+        narrow = 1 << (narrow.bit_length() - 1)
+        maps = [fold(m, narrow) if len(m) > narrow else np.tile(m, narrow // len(m)) for m in maps]
+    tokens, offsets = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)])
     _, dense = np.unique(tokens, return_inverse=True)
     mask = np.zeros(dense.max() + 1, bool)
-    tree = Tree(sizes, tokens, offsets)
-    part, marked = np.arange(n), None if wanted is None else wanted[order]
-    found: list[tuple[int, int]] = []
 
-    def compare(a: int, bs: np.ndarray) -> None:
+    def linked(a: int, bs: np.ndarray, still):
         own = dense[offsets[a] : offsets[a + 1]]
         mask[own] = True
         for b in bs:
-            if part[a] != part[b]:
+            if still(b):
                 both = int(mask[dense[offsets[b] : offsets[b + 1]]].sum())
                 if den * both >= num * (sizes[a] + sizes[b] - both):
-                    found.append((int(order[a]), int(order[b])))
-                    part[part == part[b]] = part[a]
+                    yield b
         mask[own] = False
 
-    top = len(tree.levels) - 1
-    stack = [(top, 0, 0)]
+    return _traverse(np.stack(maps), sizes, np.array([s.min() for s in sets], np.uint64), num, den, wanted, linked)
+
+
+def _traverse(maps, sizes, smallest, num, den, wanted, linked) -> list[tuple[int, int]]:
+    """The dual traversal; `linked` yields those of some sets that are linked with one, None takes all that are possible."""
+    order = np.argsort(smallest, kind="stable")
+    tree, part = Tree(maps[order], sizes[order]), np.arange(len(sizes))
+    marked = None if wanted is None else wanted[order]
+    found: list[tuple[int, int]] = []
+
+    def compare(a: int, bs: np.ndarray) -> None:
+        still = lambda b: part[where[b]] != part[a]
+        of = order[bs]
+        for b in linked(order[a], of, still) if linked else of:
+            if still(b):
+                found.append((int(order[a]), int(b)))
+                part[part == part[where[b]]] = part[a]
+
+    where = np.empty(len(order), np.int64)
+    where[order] = np.arange(len(order))
+    stack = [(len(tree.levels) - 1, 0, 0)]
     while stack:
         level, x, y = stack.pop()
         if level == 0:
-            if x != y:
-                compare(x, np.array([y]))
             continue
         span = FAN**level
         px, py = part[x * span : (x + 1) * span], part[y * span : (y + 1) * span]

@@ -187,7 +187,8 @@ def draws(found: DataFrame, key: bytes, space: int | None = None) -> DataFrame |
     """
     c.shared_dir(found.sparkSession)
     shown = lambda d: surrogate(key, F.col("kind"), F.col("normal"), d) if space is None else F.concat(F.col("kind"), F.lit(":"), F.pmod(F.xxhash64("normal", d), F.lit(space)))
-    real = found.select("kind", "normal").distinct().checkpoint()
+    # few bytes but much to compute: dealt out, since AQE would put them into one task
+    real = found.select("kind", "normal").distinct().repartition(c.partitions(found.sparkSession), "kind", "normal").checkpoint()
     pending, taken, drawn, n = real, None, None, 0
     while True:
         tried = pending.withColumn("s", normal(F.col("kind"), shown(F.lit(n))) if space is None else shown(F.lit(n)))

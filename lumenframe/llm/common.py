@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 U = np.uint64
 _BYTE_BASE, _WORD_BASE, _WORD_BASE_2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
 _SECTION = 1 << 20  # bytes hashed at once
+#: What a worker keeps between tasks, by key; an operator that needs none of it empties it.
+KEPT: dict = {}
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Bytes that separate words: space and 0x09-0x0D, or whatever is not a digit, letter or non-ASCII byte.

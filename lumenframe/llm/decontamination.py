@@ -26,7 +26,6 @@ from . import common as c
 BLOCK_CHARS = 8_000_000
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _NORMAL = bytes(32 if c.NON_ALNUM[c.LOWER[i]] else int(c.LOWER[i]) for i in range(256))
-_BUILT: dict = {}
 FOUND = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
@@ -69,10 +68,10 @@ def matches(a, text: str | None) -> tuple[int, list[tuple[int, int, tuple]]]:
 
 def _scan(text: str, hits: str, items, key: int, k: int, schema: pa.Schema, batches):
     """Adds to `hits` what the block of items finds."""
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = automaton(items.value, k)
-    a = _BUILT[key]
+    if key not in c.KEPT:
+        c.KEPT.clear()
+        c.KEPT[key] = automaton(items.value, k)
+    a = c.KEPT[key]
     for b in batches:
         n, out = [], []
         for s in b.column(text):

@@ -49,8 +49,10 @@ def shingles(column, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(at):
             w[at] = c.windows(h, rows, k)[0][at]
             fits[at] = True
-    row = np.repeat(np.arange(len(size)), size)[fits]
+    del h
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)[fits]
     w = w[fits]
+    del fits
     order = np.argsort(w, kind="stable")
     order = order[np.argsort(row[order], kind="stable")]
     w, row = w[order], row[order]
@@ -61,6 +63,7 @@ def shingles(column, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(text: str, n: int, batches):
     """Shingles that two texts of a batch share or more, and how many."""
+    c.KEPT.clear()
     schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 
     def told(parts):
@@ -115,6 +118,7 @@ class _Prefixes:
 
 
 def _send(text, n, num, den, order, buckets, t: pa.Table, reps: pa.Table) -> pa.Table:
+    c.KEPT.clear()
     out: list = []
     if t.num_rows and reps.num_rows:
         own = t["chunk"][0].as_py()

@@ -25,7 +25,6 @@ from . import common as c
 ORDER, SYMBOLS = 4, 64
 _SYMBOL_CHARS = b"#*$%&|<>"
 _STEP = 500  # texts handled at once
-_DENSE: dict = {}
 
 
 def _alphabet() -> np.ndarray:
@@ -163,10 +162,10 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _score(text: str, sent, names: tuple, schema: pa.Schema, batches):
-    if sent.id not in _DENSE:
-        _DENSE.clear()
-        _DENSE[sent.id] = sent.value.dense()
-    logs = _DENSE[sent.id]
+    if sent.id not in c.KEPT:
+        c.KEPT.clear()
+        c.KEPT[sent.id] = sent.value.dense()
+    logs = c.KEPT[sent.id]
     for b in batches:
         for i in range(0, b.num_rows, _STEP):
             part = b.slice(i, _STEP)

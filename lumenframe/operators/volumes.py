@@ -89,3 +89,41 @@ def spline_field(points: DataFrame, lattice: DataFrame, axes: dict[str, tuple[fl
     summed = found.groupBy("_k").agg(*[F.coalesce(F.sum(F.col("_w") * F.col(f"_{v}")), F.lit(0.0)).alias(v) for v in values])
     out = summed.select("_k.*", *values).select(*points.columns, *values)
     return out.unionByName(points.where(~fits), allowMissingColumns=True)
+
+
+def infill(volume: DataFrame, sizes: dict[str, int], value: str, by: list[str]) -> DataFrame:
+    """Every voxel of the grid, one volume for each `by`; missing ones get the mean of their face neighbours, round after round.
+
+    Absent, null and non-finite values are missing; a round uses what the one before has filled.  A volume without any
+    value stays null.  Of repeated voxels the largest value counts; voxels outside the sizes, or with a null index, are
+    left out.  One volume is one task of the memory of its grid, which `sizes` bounds.
+    """
+    import numpy as np
+
+    shape = tuple(sizes.values())
+
+    def fill(pdf):
+        x = np.full(shape, np.nan)
+        at = tuple(pdf[a].to_numpy() for a in sizes)
+        x[at] = pdf[value].to_numpy()
+        while (missing := np.isnan(x)).any() and not missing.all():
+            pad = np.pad(x, 1, constant_values=np.nan)
+            total, n = np.zeros(shape), np.zeros(shape)
+            for d in range(len(shape)):
+                for s in (0, 2):
+                    near = pad[tuple(slice(s if k == d else 1, (s if k == d else 1) + m) for k, m in enumerate(shape))]
+                    total += np.nan_to_num(near)
+                    n += ~np.isnan(near)
+            new = missing & (n > 0)
+            x[new] = total[new] / n[new]
+        out = dict(zip(sizes, (i.ravel() for i in np.indices(shape)))) | {value: x.ravel()}
+        first = pdf.iloc[:1][by].reset_index(drop=True)
+        return type(pdf)({**{b: first[b].repeat(x.size).to_numpy() for b in by}, **out})
+
+    v = F.col(value).cast("double")
+    rows = volume
+    for a, n in sizes.items():
+        rows = rows.where(F.col(a).between(0, n - 1))
+    good = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+    rows = rows.groupBy(*by, *sizes).agg(F.max(good).alias(value)).select(*by, *[F.col(a).cast("long").alias(a) for a in sizes], value)
+    return rows.groupBy(*by).applyInPandas(fill, rows.schema)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import grid, segments, volumes
-from .catalog import _BINS, _DAILY, _E, _P, _SIDES, AXES, _daily, _events, _points, _t, query
+from ..operators import grid, registered, segments, volumes
+from .catalog import _BINS, _DAILY, _E, _IN, _P, _SIDES, AXES, _daily, _events, _points, _t, query
 
 _PERIODS = f"{_SIDES}, q AS (SELECT user_id, rt, lead(rt) OVER (PARTITION BY user_id ORDER BY rt) - rt AS period FROM r)"
 _PHASE = f"{_PERIODS}, h AS (SELECT event_id, l.user_id, rt, 2 * pi() * (l.t - rt) / period AS phase FROM l ASOF LEFT JOIN q ON l.user_id = q.user_id AND l.t >= q.rt)"
@@ -153,3 +153,52 @@ def blur_volume(spark, sf_dir):
     kernel = [(-1, 0.25), (0, 0.5), (1, 0.25)]
     out = volumes.convolve(_counted(spark, sf_dir), {"ix": 10, "iy": 6}, "n", {"ix": kernel, "iy": kernel})
     return out.where("n > 0").withColumn("n", F.round("n", 4))
+
+
+# ---------------------------------------------------------------- registered volumes
+
+_POSES = "(VALUES ('A', 0.3e0, 0.1e0, -0.2e0, 1.0e0, 2.0e0, 3.0e0), ('N', -0.4e0, 0.2e0, 0.1e0, 0.5e0, 1.5e0, 2.5e0))"
+_VOLUME = f"WITH {_P}, b AS (SELECT f, {_BINS}, d FROM p), v AS (SELECT f, ix, iy, iz, count(*) AS counts, sum(d) AS dwell, max(1 + ix / 10.0e0) AS gain FROM b WHERE {_IN} GROUP BY f, ix, iy, iz)"
+_VOIS = "m AS (SELECT DISTINCT ix // 4 AS voi, ix, iy, iz FROM v WHERE (ix - 4) * (ix - 4) + (iy - 3) * (iy - 3) < 9 UNION SELECT 9, ix, iy, iz FROM v WHERE iz < 4)"
+
+
+def _volume(spark, sf_dir):
+    binned = grid.bin_points(_points(spark, sf_dir), AXES, {"counts": F.lit(1), "dwell": F.col("d")}, ["f"])
+    return binned.withColumn("gain", 1 + F.col("ix") / 10.0)
+
+
+def _vois(volume):
+    disc = volume.where("(ix - 4) * (ix - 4) + (iy - 3) * (iy - 3) < 9").select(F.floor(F.col("ix") / 4).alias("voi"), "ix", "iy", "iz")
+    return disc.unionByName(volume.where("iz < 4").select(F.lit(9).cast("long").alias("voi"), "ix", "iy", "iz"))
+
+
+@query(f"""WITH {_P}, c AS (SELECT p.*, o.* FROM p JOIN {_POSES} AS o(g, az, ay, ax, tx, ty, tz) ON p.f = o.g),
+r AS (SELECT f, d, z, az, ay, ax, tx, ty, tz, cos(az) * x - sin(az) * y AS x1, sin(az) * x + cos(az) * y AS y1 FROM c),
+s AS (SELECT f, d, ay, tx, ty, tz, x1, cos(ax) * y1 - sin(ax) * z AS y2, sin(ax) * y1 + cos(ax) * z AS z2 FROM r),
+q AS (SELECT f, d, cos(ay) * x1 + sin(ay) * z2 + tx AS x, y2 + ty AS y, -sin(ay) * x1 + cos(ay) * z2 + tz AS z FROM s),
+b AS (SELECT f, d, {_BINS} FROM q) SELECT f, ix, iy, iz, count(*) AS counts, round(sum(d), 2) AS dwell FROM b WHERE {_IN} GROUP BY f, ix, iy, iz""")
+def posed_counts(spark, sf_dir):
+    poses = spark.sql("SELECT * FROM VALUES ('A', 0.3D, 0.1D, -0.2D, 1D, 2D, 3D), ('N', -0.4D, 0.2D, 0.1D, 0.5D, 1.5D, 2.5D) AS o(f, az, ay, ax, tx, ty, tz)")
+    out = grid.bin_points(registered.posed(_points(spark, sf_dir), poses, ["f"]), AXES, {"counts": F.lit(1), "dwell": F.col("d")}, ["f"])
+    return out.withColumn("dwell", F.round("dwell", 2))
+
+
+@query(f"""{_VOLUME}, {_VOIS}, s AS (SELECT voi, count(*) AS voxels FROM m GROUP BY voi)
+SELECT f, voi, round(1e6 * sum(gain * counts / dwell) / any_value(voxels), 6) AS rate, any_value(voxels) AS voxels FROM v JOIN m USING (ix, iy, iz) JOIN s USING (voi) GROUP BY f, voi""")
+def voi_rates(spark, sf_dir):
+    v = _volume(spark, sf_dir)
+    out = registered.voi_rates(v, _vois(v), ["f"], ["voi"], ["ix", "iy", "iz"], "gain")
+    return out.withColumn("rate", F.round(F.col("rate") * 1e6, 6))
+
+
+@query(f"""{_VOLUME}, {_VOIS} SELECT f, voi, sum(counts) AS counts, round(sum(dwell), 2) AS dwell, round(sum(counts * gain), 4) AS counts_gained, round(sum(dwell / gain), 2) AS dwell_gained
+FROM v JOIN m USING (ix, iy, iz) GROUP BY f, voi""")
+def voi_sums(spark, sf_dir):
+    v = _volume(spark, sf_dir)
+    out = registered.voi_sums(v, _vois(v), ["f"], ["voi"], ["ix", "iy", "iz"], "gain")
+    return out.withColumns({"dwell": F.round("dwell", 2), "counts_gained": F.round("counts_gained", 4), "dwell_gained": F.round("dwell_gained", 2)})
+
+
+@query(f"{_VOLUME} SELECT f, ix, iy, sum(counts) AS counts, round(sum(dwell), 2) AS dwell FROM v WHERE iz BETWEEN 2 AND 5 GROUP BY f, ix, iy")
+def plane_in_time(spark, sf_dir):
+    return registered.plane_in_time(_volume(spark, sf_dir), ["f"], ["ix", "iy"], "iz", 2, 5).withColumn("dwell", F.round("dwell", 2))

@@ -91,39 +91,111 @@ def spline_field(points: DataFrame, lattice: DataFrame, axes: dict[str, tuple[fl
     return out.unionByName(points.where(~fits), allowMissingColumns=True)
 
 
-def infill(volume: DataFrame, sizes: dict[str, int], value: str, by: list[str]) -> DataFrame:
-    """Every voxel of the grid, one volume for each `by`; missing ones get the mean of their face neighbours, round after round.
+def on_grid(volume: DataFrame, sizes: dict[str, int], value: str, by: list[str], change) -> DataFrame:
+    """Every voxel of the grid with what `change` makes of each `by`'s dense array, in which missing voxels are nan.
 
-    Absent, null and non-finite values are missing; a round uses what the one before has filled.  A volume without any
-    value stays null.  Of repeated voxels the largest value counts; voxels outside the sizes, or with a null index, are
-    left out.  One volume is one task of the memory of its grid, which `sizes` bounds.
+    Absent, null and non-finite values are missing.  Of repeated voxels the largest value counts; voxels outside the
+    sizes, or with a null index, are left out.  One volume is one task of the memory of its grid, which `sizes` bounds.
     """
     import numpy as np
 
     shape = tuple(sizes.values())
 
-    def fill(pdf):
+    def made(pdf):
         x = np.full(shape, np.nan)
-        at = tuple(pdf[a].to_numpy() for a in sizes)
-        x[at] = pdf[value].to_numpy()
-        while (missing := np.isnan(x)).any() and not missing.all():
-            pad = np.pad(x, 1, constant_values=np.nan)
-            total, n = np.zeros(shape), np.zeros(shape)
-            for d in range(len(shape)):
-                for s in (0, 2):
-                    near = pad[tuple(slice(s if k == d else 1, (s if k == d else 1) + m) for k, m in enumerate(shape))]
-                    total += np.nan_to_num(near)
-                    n += ~np.isnan(near)
-            new = missing & (n > 0)
-            x[new] = total[new] / n[new]
-        out = dict(zip(sizes, (i.ravel() for i in np.indices(shape)))) | {value: x.ravel()}
+        x[tuple(pdf[a].to_numpy() for a in sizes)] = pdf[value].to_numpy()
+        out = dict(zip(sizes, (i.ravel() for i in np.indices(shape)))) | {value: change(x).ravel()}
         first = pdf.iloc[:1][by].reset_index(drop=True)
         return type(pdf)({**{b: first[b].repeat(x.size).to_numpy() for b in by}, **out})
 
-    v = F.col(value).cast("double")
-    rows = volume
+    rows, v = volume, F.col(value).cast("double")
     for a, n in sizes.items():
         rows = rows.where(F.col(a).between(0, n - 1))
     good = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
     rows = rows.groupBy(*by, *sizes).agg(F.max(good).alias(value)).select(*by, *[F.col(a).cast("long").alias(a) for a in sizes], value)
-    return rows.groupBy(*by).applyInPandas(fill, rows.schema)
+    return rows.groupBy(*by).applyInPandas(made, rows.schema)
+
+
+def filled(x):
+    """A dense array whose nan take the mean of their face neighbours, round after round; all nan: unchanged."""
+    import numpy as np
+
+    x = x.copy()
+    while (missing := np.isnan(x)).any() and not missing.all():
+        pad = np.pad(x, 1, constant_values=np.nan)
+        total, n = np.zeros(x.shape), np.zeros(x.shape)
+        for d in range(x.ndim):
+            for s in (0, 2):
+                near = pad[tuple(slice(s if k == d else 1, (s if k == d else 1) + m) for k, m in enumerate(x.shape))]
+                total += np.nan_to_num(near)
+                n += ~np.isnan(near)
+        new = missing & (n > 0)
+        x[new] = total[new] / n[new]
+    return x
+
+
+def infill(volume: DataFrame, sizes: dict[str, int], value: str, by: list[str]) -> DataFrame:
+    """`on_grid` with missing voxels filled from their face neighbours; a volume without any value stays null."""
+    return on_grid(volume, sizes, value, by, filled)
+
+
+def l1_smoothed(y, s: float, penalty: float = 1.0, most: int = 100, least: float = 1e-5):
+    """The z of least sum |z - y| over known voxels + s |Laplacian z|^2 (Neumann ends), by split Bregman in the cosine basis.
+
+    Missing voxels (nan) follow the smooth surface.  It ends after `most` rounds, or once a round changes z by less than
+    `least` of its norm.
+    """
+    import numpy as np
+
+    known = ~np.isnan(y)
+    if not known.any():
+        return y
+    bases, curve = [], np.zeros(y.shape)
+    for d, n in enumerate(y.shape):
+        k = np.arange(n)
+        c = np.cos(np.pi * np.outer(k, k + 0.5) / n) * np.sqrt(2 / n)
+        c[0] /= np.sqrt(2)
+        bases.append(c)
+        curve = curve + (2 - 2 * np.cos(np.pi * k / n)).reshape([-1 if a == d else 1 for a in range(y.ndim)])
+    damping = 1 / (1 + 2 * s / penalty * curve**2)
+
+    def smooth(x):
+        for turn in (False, True):
+            for d, c in enumerate(bases):
+                x = np.moveaxis(np.tensordot(c.T if turn else c, x, (1, d)), 0, d)
+            x = x if turn else x * damping
+        return x
+
+    z, data = filled(y), np.where(known, y, 0.0)
+    rest, slack = np.zeros(y.shape), np.zeros(y.shape)
+    for _ in range(most):
+        before, z = z, smooth(np.where(known, data + rest - slack, z))
+        off = z - data + slack
+        rest = np.where(known, np.sign(off) * np.maximum(np.abs(off) - 1 / penalty, 0), 0.0)
+        slack = np.where(known, off - rest, 0.0)
+        if np.linalg.norm(z - before) < least * np.linalg.norm(before):
+            break
+    return z
+
+
+def l1_spline(volume: DataFrame, sizes: dict[str, int], value: str, by: list[str], s: float = 0.01, penalty: float = 1.0) -> DataFrame:
+    """`on_grid` with robustly smoothed values, missing voxels filled; a volume without any value stays null."""
+    return on_grid(volume, sizes, value, by, lambda y: l1_smoothed(y, s, penalty))
+
+
+def shifted(image, dx: float, dy: float):
+    """A dense image moved by a part of a pixel through the phases of its Fourier transform, padded to powers of two."""
+    import numpy as np
+
+    n = [2 ** int(np.ceil(np.log2(m + abs(d)))) for m, d in zip(image.shape, (dx, dy))]
+    pad = [(a - m) // 2 for a, m in zip(n, image.shape)]
+    frame = np.zeros(n)
+    inside = tuple(slice(p, p + m) for p, m in zip(pad, image.shape))
+    frame[inside] = np.nan_to_num(image)
+    turn = np.exp(-2j * np.pi * (dx * np.fft.fftfreq(n[0])[:, None] + dy * np.fft.fftfreq(n[1])))
+    return np.abs(np.fft.ifft2(np.fft.fft2(frame) * turn))[inside]
+
+
+def translate(stack: DataFrame, sizes: dict[str, int], value: str, by: list[str], dx: float, dy: float) -> DataFrame:
+    """`on_grid` with each image moved by (dx, dy) along its two axes; missing pixels are 0."""
+    return on_grid(stack, sizes, value, by, lambda x: shifted(x, dx, dy))

@@ -53,3 +53,37 @@ def test_plane_sums_its_depths(spark):
     v = spark.createDataFrame([(1, 0, 0, 1, 2, 1.0), (1, 0, 0, 2, 3, 1.0), (1, 0, 0, 3, 9, 1.0), (1, 0, 0, None, 9, 1.0)], "f int, i int, j int, k int, counts int, dwell double")
     got = registered.plane_in_time(v.withColumn("g", F.lit(2.0)), ["f"], ["i", "j"], "k", 1, 2, "g").collect()
     assert [tuple(r) for r in got] == [(1, 0, 0, 10.0, 2.0)]
+
+
+def cost(z, y, s):
+    """Absolute misfit of known pixels and the squared Laplacian, ends mirrored."""
+    p = np.pad(z, 1, mode="edge")
+    bent = 4 * z - p[:-2, 1:-1] - p[2:, 1:-1] - p[1:-1, :-2] - p[1:-1, 2:]
+    return np.nansum(np.abs(z - y)) + s * (bent**2).sum()
+
+
+def test_l1_spline_is_the_least_cost(spark):
+    rng = np.random.default_rng(4)
+    i, j = np.indices((9, 8))
+    y = np.sin(i / 3) + j / 5 + rng.normal(0, 0.05, i.shape)
+    y[2, 3], y[5, 5], y[7, 1] = 9, np.nan, -6
+    z = volumes.l1_smoothed(y, 0.7, most=20000, least=1e-12)
+    best = cost(z, y, 0.7)
+    for _ in range(300):
+        assert best <= cost(z + rng.normal(0, 10 ** rng.uniform(-4, -1), z.shape) * (rng.random(z.shape) < 0.2), y, 0.7) + 1e-6
+    assert abs(z[2, 3] - np.sin(2 / 3) - 0.6) < 0.3
+    d = spark.createDataFrame([("v", int(a), int(b), None if np.isnan(y[a, b]) else float(y[a, b])) for a in range(9) for b in range(8)] + [("e", 0, 0, None)], "s string, i int, j int, v double")
+    got = volumes.l1_spline(d, {"i": 9, "j": 8}, "v", ["s"], 0.7).toPandas()
+    assert np.allclose(got[got.s == "v"].sort_values(["i", "j"])["v"].to_numpy().reshape(9, 8), volumes.l1_smoothed(y, 0.7))
+    assert got[got.s == "e"]["v"].isna().all() and (got.s == "e").sum() == 72
+
+
+def test_translate_by_whole_and_part_pixels(spark):
+    x = np.zeros((7, 6))
+    x[2:5, 2:4] = [[1, 2], [3, 4], [5, 6]]
+    d = spark.createDataFrame([("v", a, b, float(x[a, b])) for a in range(7) for b in range(6) if x[a, b]], "s string, i int, j int, v double")
+    got = volumes.translate(d, {"i": 7, "j": 6}, "v", ["s"], 1, -2).toPandas().sort_values(["i", "j"])["v"].to_numpy().reshape(7, 6)
+    assert np.allclose(got, np.roll(x, (1, -2), (0, 1)), atol=1e-9)
+    i = np.arange(40)
+    bell = lambda c: np.exp(-((i - c) ** 2)[:, None] / 18 - (i - 20) ** 2 / 18)
+    assert np.allclose(volumes.shifted(bell(20), 0.37, 0), bell(20.37), atol=1e-6)

@@ -30,9 +30,14 @@ def fold(maps: np.ndarray, words: int) -> np.ndarray:
     return maps
 
 
+def hidden_by(maps: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """How many tokens each bitmap may hide: of folded ones, but not of repeated ones, which have each bit several times."""
+    return sizes - np.array([np.bitwise_count(m).sum(dtype=np.int64) for m in maps], np.int64)
+
+
 class Tree:
-    def __init__(self, maps: np.ndarray, sizes: np.ndarray):
-        self.levels = [(maps, sizes, sizes, sizes - np.bitwise_count(maps).sum(1, dtype=np.int64))]
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, hidden: np.ndarray):
+        self.levels = [(maps, sizes, sizes, hidden)]
         while len(self.levels[-1][1]) > 1:
             maps, low, high, hidden = self.levels[-1]
             at = np.arange(0, len(low), FAN)
@@ -59,7 +64,7 @@ def possible_links(maps: list[np.ndarray], sizes: np.ndarray, smallest: np.ndarr
         at = np.flatnonzero((widths == w) | (widths == 2 * w))
         if len(at) > 1:
             tree = np.stack([fold(maps[i], int(w)) for i in at])
-            found += [(int(at[i]), int(at[j])) for i, j in _traverse(tree, sizes[at], smallest[at], num, den, widths[at] == w, None)]
+            found += [(int(at[i]), int(at[j])) for i, j in _traverse(tree, sizes[at], hidden_by(tree, sizes[at]), smallest[at], num, den, widths[at] == w, None)]
     return found
 
 
@@ -70,11 +75,11 @@ def links(sets: list[np.ndarray], num: int, den: int, wanted: np.ndarray | None
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     maps = [bitmap(s) for s in sets]
-    narrow = min(len(m) for m in maps)
-    if narrow < max(len(m) for m in maps):  # bitmaps of one width, that of the median
-        narrow = int(np.median([len(m) for m in maps]))
-        narrow = 1 << (narrow.bit_length() - 1)
-        maps = [fold(m, narrow) if len(m) > narrow else np.tile(m, narrow // len(m)) for m in maps]
+    width = int(np.median([len(m) for m in maps]))  # bitmaps of one width, that of the median
+    width = 1 << (width.bit_length() - 1)
+    maps = [fold(m, width) for m in maps]
+    hidden = hidden_by(maps, sizes)  # a repeated bitmap tells tokens apart no better than its own width does
+    maps = [np.tile(m, width // len(m)) for m in maps]
     tokens, offsets = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)])
     _, dense = np.unique(tokens, return_inverse=True)
     mask = np.zeros(dense.max() + 1, bool)
@@ -89,13 +94,13 @@ def links(sets: list[np.ndarray], num: int, den: int, wanted: np.ndarray | None
                     yield b
         mask[own] = False
 
-    return _traverse(np.stack(maps), sizes, np.array([s.min() for s in sets], np.uint64), num, den, wanted, linked)
+    return _traverse(np.stack(maps), sizes, hidden, np.array([s.min() for s in sets], np.uint64), num, den, wanted, linked)
 
 
-def _traverse(maps, sizes, smallest, num, den, wanted, linked) -> list[tuple[int, int]]:
+def _traverse(maps, sizes, hidden, smallest, num, den, wanted, linked) -> list[tuple[int, int]]:
     """The dual traversal; `linked` yields those of some sets that are linked with one, None takes all that are possible."""
     order = np.argsort(smallest, kind="stable")
-    tree, part = Tree(maps[order], sizes[order]), np.arange(len(sizes))
+    tree, part = Tree(maps[order], sizes[order], hidden[order]), np.arange(len(sizes))
     marked = None if wanted is None else wanted[order]
     found: list[tuple[int, int]] = []
 

@@ -210,8 +210,8 @@ def base_failed(names: list[str]):
 BIN = 1000  # millionths: quartiles are exact to a thousandth of a nat
 
 
-def bands(rows: DataFrame, names: list[str], lang: str, width: float, least: int) -> DataFrame:
-    """lang, middle and reach of every language with `least` texts or more, and of the rest together (`pooled`)."""
+def bands(rows: DataFrame, names: list[str], lang: str, below: float, above: float, least: int) -> DataFrame:
+    """lang, middle, and how far the band reaches under and over it, of every language with `least` texts or more, and of the rest together (`pooled`)."""
     good = rows.where(~base_failed(names) & F.col(names[5]).isNotNull())
     bins = good.groupBy(F.col(lang).alias("lang"), F.floor(F.col(names[5]) / BIN).alias("bin")).agg(F.count("*").alias("n"))
     bins = bins.withColumn("pooled", F.sum("n").over(Window.partitionBy("lang")) < least)
@@ -221,40 +221,42 @@ def bands(rows: DataFrame, names: list[str], lang: str, width: float, least: int
     bins = bins.withColumn("upto", F.sum("n").over(key.orderBy("bin"))).withColumn("total", F.sum("n").over(key))
     quartile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), (F.col("bin") + 0.5) * BIN / 1e6))
     found = bins.groupBy("lang", "pooled").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
-    return found.select("lang", "pooled", ((F.col("q1") + F.col("q3")) / 2).alias("middle"), (F.greatest(F.col("q3") - F.col("q1"), F.lit(0.005)) * (width + 0.5)).alias("reach"))
+    spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(0.005))
+    return found.select("lang", "pooled", ((F.col("q1") + F.col("q3")) / 2).alias("middle"), (spread * (below + 0.5)).alias("under"), (spread * (above + 0.5)).alias("over"))
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", width: float = 4.0, least: int = 100) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", below: float = 2.0, above: float = 2.0, least: int = 100) -> DataFrame:
     """docs with the five counts, `log_perplexity`, `base_failed` and `kept`.
 
     Words are runs of what is neither a space nor 0x09-0x0D.  A text fails the base rules with under 50 words, or if
     over half of them lie in 3-word windows that it repeats.  It is kept if it passes and its log
-    perplexity lies in its language's band (ends included): from `width` quartile ranges below the lower quartile to as many
-    above the upper, each times sqrt(1 + 50 / n_words), since short texts scatter more.  A null text is empty and fails; a
+    perplexity lies in its language's band (ends included): from `below` quartile ranges below the lower quartile (boilerplate,
+    lists) to `above` above the upper (garbled text), each times sqrt(1 + 50 / n_words), since short texts scatter more.  A null text is empty and fails; a
     null language is one of its own (pooled with the rare if under `least` texts).  Repeated rows each count; clashing
     names of new columns get an underscore.
     """
     rows, names = scored(docs, text)
     small = c.stored(rows.select(F.col(lang).alias("lang"), *(F.col(x) for x in names)), "perplexity")
-    few = bands(small, names, "lang", width, least)
+    few = bands(small, names, "lang", below, above, least)
     failed, kept = c.fresh(rows, "base_failed", "kept")
     rows = rows.withColumn(failed, base_failed(names))
     own, rest = few.where(~F.col("pooled")), few.where("pooled").collect()
     table = own.limit(MOST_BANDS + 1).collect()
-    pooled = [F.lit(rest[0][k] if rest else None).cast("double") for k in ("middle", "reach")]
+    pooled = [F.lit(rest[0][k] if rest else None).cast("double") for k in LIMITS]
     if len(table) <= MOST_BANDS:  # in the plan; a join with more
-        middle, reach = ([F.when(F.col(lang).eqNullSafe(F.lit(r["lang"])), F.lit(r[k])) for r in table] for k in ("middle", "reach"))
+        middle, under, over = ([F.when(F.col(lang).eqNullSafe(F.lit(r["lang"])), F.lit(r[k])) for r in table] for k in LIMITS)
         drop = []
     else:
-        drop = c.fresh(rows, "_lang", "_middle", "_reach")
-        rows = rows.join(own.select(*(F.col(k).alias(d) for k, d in zip(("lang", "middle", "reach"), drop, strict=True))), F.col(lang).eqNullSafe(F.col(drop[0])), "left")
-        middle, reach = [F.col(drop[1])], [F.col(drop[2])]
-    far = F.abs(F.col(names[5]) / 1e6 - F.coalesce(*middle, pooled[0]))
-    inside = far <= F.coalesce(*reach, pooled[1]) * F.sqrt(1 + 50 / F.col(names[0]))
+        drop = c.fresh(rows, "_lang", "_middle", "_under", "_over")
+        rows = rows.join(own.select(*(F.col(k).alias(d) for k, d in zip(("lang", *LIMITS), drop, strict=True))), F.col(lang).eqNullSafe(F.col(drop[0])), "left")
+        middle, under, over = ([F.col(x)] for x in drop[1:])
+    off = F.col(names[5]) / 1e6 - F.coalesce(*middle, pooled[0])
+    scatter = F.sqrt(1 + 50 / F.col(names[0]))
+    inside = (-off <= F.coalesce(*under, pooled[1]) * scatter) & (off <= F.coalesce(*over, pooled[2]) * scatter)
     return rows.withColumn(kept, ~F.col(failed) & F.coalesce(inside, F.lit(True))).drop(*drop)
 
 
-MOST_BANDS = 4096
+MOST_BANDS, LIMITS = 4096, ("middle", "under", "over")
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -68,7 +68,7 @@ def kind_of(raw: Column, before: Column) -> Column:
 
 def normal(kind: Column, raw: Column) -> Column:
     """The form in which writings of one entity are equal."""
-    digits = F.regexp_replace(raw, "[^0-9]", "")
+    digits = F.regexp_replace(raw, r"(?!^\+)[^0-9]", "")  # a leading + stays: it decides which digits a surrogate keeps
     return (
         F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.replace(raw, F.lit(" "), F.lit(""))).when(kind.isin("email", "ipv6"), F.lower(raw)).otherwise(raw)
     )

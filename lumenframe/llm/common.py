@@ -7,18 +7,25 @@ length; a window's identity is the same kind of hash over its words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
 _BYTE_BASE, _WORD_BASE, _WORD_BASE_2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
-_SECTION = 1 << 20  # bytes hashed at once
+_SECTION = 1 << 18  # bytes or words hashed at once, which bounds the tables of powers
+PIECE = 4 << 20  # bytes of text that an operator works on at once, but for a longer text
+CHUNK = 256 << 20  # bytes of text in a chunk at most, about
 #: What a worker keeps between tasks, by key; an operator that needs none of it empties it.
 KEPT: dict = {}
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -38,6 +45,28 @@ def prepare(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    env["ARROW_DEFAULT_MEMORY_POOL"] = "system"  # so that release() gives back what Arrow has freed
+
+
+def release() -> None:
+    """Give a worker's freed memory back, so that idle workers hold little; called where a task ends."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(f):
+    """An Arrow function of batches that releases memory at its end."""
+
+    @wraps(f)
+    def run(*args):
+        try:
+            yield from f(*args)
+        finally:
+            release()
+
+    return run
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +92,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a stored table that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {os.path.dirname(x) for x in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def file_system(uri: str):
+    """Arrow's file system of a shared folder or file, and the path in it."""
+    return pa.fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -104,20 +146,22 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n at least."""
+    """base**i and base**-i modulo 2**64 for i below n at least; tables of ordinary sections are kept."""
     key = int(base)
-    if key not in _TABLES or len(_TABLES[key][0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        tables = []
-        for b in (key, pow(key, -1, 1 << 64)):
-            t = np.ones(size, U)
-            have = 1
-            while have < size:
-                t[have : 2 * have] = t[:have] * U(pow(b, have, 1 << 64))
-                have *= 2
-            tables.append(t)
+    if key in _TABLES and len(_TABLES[key][0]) >= n:
+        return _TABLES[key]
+    size, tables = max(n, _SECTION + 1024), []
+    for b in (key, pow(key, -1, 1 << 64)):
+        t = np.ones(size, U)
+        have = 1
+        while have < size:
+            to = min(2 * have, size)
+            t[have:to] = t[: to - have] * U(pow(b, have, 1 << 64))
+            have = to
+        tables.append(t)
+    if n <= _SECTION + 1024:
         _TABLES[key] = tables[0], tables[1]
-    return _TABLES[key]
+    return tables[0], tables[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -179,15 +223,29 @@ def windows(hashes: np.ndarray, rows: np.ndarray, k: int, second: bool = False)
     out = np.zeros(n, U)
     if n >= k:
         base = _WORD_BASE_2 if second else _WORD_BASE
-        pw, inv = powers(base, n + 1)
-        total = np.zeros(n + 1, U)
-        np.cumsum(hashes * pw[:n], dtype=U, out=total[1:])
-        out[: n - k + 1] = mix((total[k:] - total[: n - k + 1]) * inv[: n - k + 1] + U(k))
+        for at in range(0, n - k + 1, _SECTION):
+            part = hashes[at : at + _SECTION + k - 1]
+            m = len(part) - k + 1
+            pw, inv = powers(base, len(part) + 1)
+            total = np.zeros(len(part) + 1, U)
+            np.cumsum(part * pw[: len(part)], dtype=U, out=total[1:])
+            out[at : at + m] = mix((total[k:] - total[:m]) * inv[:m] + U(k))
         last = np.repeat(rows[1:], np.diff(rows))  # end of the row of each word
         fits = np.arange(n) + k <= last
     return out, fits
 
 
+def pieces(batch: pa.RecordBatch, text: str, most: int = PIECE):
+    """The batch in slices of at most that many bytes of text, or a single row."""
+    column = batch.column(text)
+    _, at = buffers(column)
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
+        yield batch.slice(i, min(j, batch.num_rows) - i)
+        i = j
+
+
 def covered(marks: np.ndarray, k: int) -> np.ndarray:
     """Which words lie in one of the k-word windows that start at the marked words."""
     step = np.zeros(len(marks) + k, np.int32)
@@ -247,13 +305,15 @@ def runs(*sorted_keys: np.ndarray) -> np.ndarray:
 CHUNKS_PER_PARTITION = 4
 
 
-def chunk_count(spark: SparkSession) -> int:
-    return partitions(spark) * CHUNKS_PER_PARTITION
+def chunk_count(docs: DataFrame, text: str) -> int:
+    """Four to a partition, or as many as it takes for none to hold over CHUNK bytes of text, about."""
+    size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(partitions(docs.sparkSession) * CHUNKS_PER_PARTITION, -(-size // CHUNK))
 
 
-def bucket_count(spark: SparkSession) -> int:
+def bucket_count(spark: SparkSession, chunks: int) -> int:
     """Fewer than chunks: each chunk sends a row to each bucket, and a row should hold many keys."""
-    return partitions(spark)
+    return max(partitions(spark), chunks // CHUNKS_PER_PARTITION)
 
 
 def chunk_of(n: int, *columns) -> F.Column:

@@ -302,7 +302,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     """
     spark = docs.sparkSession
     c.prepare(spark)
-    chunks, buckets = c.chunk_count(spark), c.bucket_count(spark)
+    chunks = c.chunk_count(docs, text)
+    buckets = c.bucket_count(spark, chunks)
     tail = frequent_tokens(docs, text, n)
     by_token = np.argsort(tail)
     order = spark.sparkContext.broadcast((tail[by_token], by_token.astype(np.uint64)))  # at most FREQUENT * 16 bytes
@@ -367,10 +368,9 @@ def with_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row of each class: that with the smallest doc_id; of equal rows one.  Texts without words all stay."""
-    spark = docs.sparkSession
     found = classes(docs, doc_id, text, **how)
     node, chunk = c.fresh(docs, "node", "chunk")
-    chunks = c.chunk_count(spark)
+    chunks = c.chunk_count(docs, text)
     empty = F.coalesce(F.length(F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]", "")), F.lit(0)) == 0
     kept = found.where((F.col("n_shingles") > 0) & id_of(F.col("node")).eqNullSafe(F.col("component_id"))).select(F.col("node").alias(node), c.chunk_of(chunks, "node").alias(chunk))
     full = docs.where(~empty).withColumn(node, node_of(doc_id, text)).withColumn(chunk, c.chunk_of(chunks, node))

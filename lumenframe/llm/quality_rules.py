@@ -1,10 +1,12 @@
 """Quality rules: counts of a text, and its perplexity under an n-gram model of the whole corpus.
 
-The model is a modified Kneser-Ney model of order ORDER over characters, folded to an alphabet of 64
-symbols; so it has at most 64**ORDER entries however large the corpus is (2**24 for order 4: 200 MB),
-which is the bound on what is sent to the workers.  Spark counts the n-grams of every text; each task sums
-what it has read before the shuffle.  The model's arrays are sorted by n-gram hash (the packed symbols) and are
-searched; a worker spreads the results over a table once, so that a text is scored by look-ups.
+The model is a modified Kneser-Ney model of order ORDER over characters.  Digits, capitals, spaces and a few groups of
+marks each count as one character, as perplexity filters do; letters of all scripts stay as they are, so the model
+grows with the corpus.  Spark counts the n-grams of every text, derives the lower orders' continuation counts and the
+back-off weights, and stores each order as hash arrays sorted by hash: Parquet files of at most about BLOCK entries in
+the shared folder.  A task that scores texts brings each section's distinct n-grams to the arrays, block by block, by
+binary search; it keeps at most KEPT_BLOCKS blocks.  Nothing of the model goes through the driver or is broadcast but
+the files' names and four counts of counts an order.
 
 A text is rejected if its perplexity lies outside its language's band, which is set by the quartiles of log
 perplexity over that language's texts.  Languages of few texts share one band.
@@ -12,124 +14,257 @@ perplexity over that language's texts.  Languages of few texts share one band.
 
 from __future__ import annotations
 
+import re
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as c
 
-ORDER, SYMBOLS = 4, 64
-_SYMBOL_CHARS = b"#*$%&|<>"
-_STEP = 500  # texts handled at once
-
-
-def _alphabet() -> np.ndarray:
-    """Symbol of each code point below 0x3000: 1 space, 2 newline, 3 digit, 4-9 marks, 10-35 letters, 36-61 others, 62 capitals, 63 rest."""
-    t = np.full(0x3000, 63, np.uint8)
-    t[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = 1
-    t[0x0A] = 2
-    t[0x30:0x3A] = 3
-    for symbol, chars in enumerate((".", ",;:", "!?", "'\"", "-/()[]", "#*$%&|<>"), 4):
-        t[[ord(x) for x in chars]] = symbol
-    t[0x61:0x7B] = np.arange(10, 36)
-    t[0x41:0x5B] = 62
-    for p in range(0xC0, 0x3000):
-        low = ord(chr(p).lower()) if len(chr(p).lower()) == 1 else p
-        t[p] = 36 + low % 26 if chr(p).isalpha() else 63
+ORDER, SECTION = 4, 1 << 20  # characters of an n-gram; characters that are worked on at once
+CODE_BITS = 16
+ALPHABET = 1 << CODE_BITS  # code points that one section's packed n-grams tell apart; a section with more is cut
+BLOCK, KEPT_BLOCKS = 1 << 19, 8
+_PAD = ORDER - 1
+_BASE = c.U(0x9FB21C651E98DF25)
+
+
+def _classes() -> np.ndarray:
+    """What each code point below 0x3000 counts as."""
+    t = np.arange(0x3000, dtype=np.uint32)
+    t[0x30:0x3A] = ord("0")
+    for marks in (" \t\x0b\x0c\r", ",;:", "!?", "'\"", "-/()[]", "#*$%&|<>"):
+        t[[ord(x) for x in marks]] = ord(marks[0])
+    t[[p for p in range(0x41, 0x3000) if chr(p).isupper()]] = ord("A")
     return t
 
 
-_CODES = _alphabet()
+_CLASSES = _classes()
 
 
-def symbols(text: str) -> np.ndarray:
-    p = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return _CODES[p] if not len(p) or p.max() < 0x3000 else np.where(p < 0x3000, _CODES[np.minimum(p, 0x2FFF)], 36 + p % 26).astype(np.uint8)
+def points_of(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed ORDER-grams that end at each character, 0 before the first, and n+1 offsets."""
-    parts, at = [], [0]
-    for t in texts:
-        s = symbols(t or "")
-        parts.append(s)
-        at.append(at[-1] + len(s))
-    pad = ORDER - 1
-    full = np.zeros(at[-1] + pad * len(parts), np.uint32)
-    begin = np.array(at[:-1]) + pad * np.arange(1, len(parts) + 1)
-    keep = np.ones(len(full), bool)
-    for b, s in zip(begin, parts, strict=True):
-        full[b : b + len(s)] = s
-        keep[b - pad : b] = False
-    key = full.copy()
+def symbols(text: str | None) -> np.ndarray:
+    p = points_of(text)
+    return _CLASSES[p] if not len(p) or p.max() < 0x3000 else np.where(p < 0x3000, _CLASSES[np.minimum(p, 0x2FFF)], p).astype(np.uint32)
+
+
+def _sections(texts: list[str | None]):
+    """Lists of (number of the text, its code points after ORDER - 1 that precede them), SECTION in all at most."""
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        full = np.concatenate([np.zeros(_PAD, np.uint32), symbols(t)])
+        for at in range(0, len(full) - _PAD, SECTION):
+            piece = full[at : at + SECTION + _PAD]
+            if held and size + len(piece) > SECTION + _PAD:
+                yield held
+                held, size = [], 0
+            held.append((i, piece))
+            size += len(piece)
+    if held:
+        yield held
+
+
+def grams(held: list[tuple[int, np.ndarray]]):
+    """Of a section, in parts of at most ALPHABET code points: texts' numbers and sizes, packed n-grams, alphabet (None: the code points themselves)."""
+    points = np.concatenate([p for _, p in held])
+    alphabet = None
+    if points.max() >= ALPHABET:
+        alphabet, points = np.unique(points, return_inverse=True)
+        if len(alphabet) > ALPHABET:
+            if len(held) > 1:
+                halves = held[: len(held) // 2], held[len(held) // 2 :]
+            else:
+                (i, p), at = held[0], len(held[0][1]) // 2
+                halves = [(i, p[: at + _PAD])], [(i, p[at:])]
+            for h in halves:
+                yield from grams(h)
+            return
+    keep = np.ones(len(points), bool)
+    size = np.array([len(p) for _, p in held])
+    for at in np.cumsum(size) - size:
+        keep[at : at + _PAD] = False
+    key = points.astype(c.U)
     for k in range(1, ORDER):
-        key[k:] |= full[:-k] << np.uint32(6 * k)
-    return key[keep], np.array(at)
+        key[k:] |= points[:-k].astype(c.U) << c.U(CODE_BITS * k)
+    yield np.array([i for i, _ in held]), size - _PAD, key[keep], alphabet
+
 
+def unpacked(keys: np.ndarray, alphabet: np.ndarray | None) -> np.ndarray:
+    """Code points of packed n-grams, a row each."""
+    codes = np.stack([(keys >> c.U(CODE_BITS * k)) & c.U(ALPHABET - 1) for k in range(_PAD, -1, -1)], 1).astype(np.uint32)
+    return codes if alphabet is None else alphabet[codes].astype(np.uint32)
 
+
+def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = c.runs(keys)
+    return keys[at], np.add.reduceat(counts[order], at)
+
+
+@c.released
 def _count(text: str, batches):
-    seen = np.zeros(1 << (6 * ORDER), np.int32)
-    more: dict[int, int] = {}
+    """N-grams and their counts, summed over as many texts as fit in 2 * SECTION distinct ones."""
+    c.KEPT.clear()
+
+    def told(keys, counts, alphabet):
+        s = unpacked(keys, alphabet).tobytes().decode("utf-32-le", "surrogatepass")
+        for at in range(0, len(keys), 1 << 17):
+            names = [s[i : i + ORDER] for i in range(at * ORDER, min(len(s), (at + (1 << 17)) * ORDER), ORDER)]
+            yield pa.record_batch([pa.array(names, pa.string()), pa.array(counts[at : at + (1 << 17)], pa.int64())], names=["gram", "n"])
+
+    parts, size = [], 0
+    for b in batches:
+        for piece in c.pieces(b, text):
+            for held in _sections(piece.column(text).to_pylist()):
+                for _, _, key, alphabet in grams(held):
+                    keys, counts = np.unique(key, return_counts=True)
+                    if alphabet is not None:
+                        yield from told(keys, counts, alphabet)
+                        continue
+                    parts.append((keys, counts))
+                    size += len(keys)
+                    if size > 2 * SECTION:
+                        parts = [_merged(parts)]
+                        size = len(parts[0][0])
+                        if size > SECTION:
+                            yield from told(*parts[0], None)
+                            parts, size = [], 0
+    if parts:
+        yield from told(*_merged(parts), None)
+
+
+def gram_hash(points: np.ndarray) -> np.ndarray:
+    """64-bit hash of each row of code points; the length counts too."""
+    h = np.full(len(points), points.shape[1] + 1, c.U)
+    for k in range(points.shape[1]):
+        h = h * _BASE + points[:, k] + c.U(1)
+    return c.mix(h)
+
+
+def _hashed(width: dict[str, int], parts: dict[str, int], batches):
+    """Of (kind, gram, value): the gram's hash and its part of the array; a kind's grams have all one width."""
     for b in batches:
-        for i in range(0, b.num_rows, _STEP):
-            key, _ = grams(b.column(text).slice(i, _STEP).to_pylist())
-            keys, n = np.unique(key, return_counts=True)
-            seen[keys] += n.astype(np.int32)
-            if n.size and n.max() > 1 << 20:  # far from overflow still
-                for k in keys[seen[keys] > 1 << 30]:
-                    more[int(k)] = more.get(int(k), 0) + int(seen[k])
-                    seen[k] = 0
-    at = np.flatnonzero(seen)
-    schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
-    yield pa.record_batch([pa.array(at.astype(np.int64)), pa.array(seen[at].astype(np.int64))], schema)
-    if more:
-        yield pa.record_batch([pa.array(list(more), pa.int64()), pa.array(list(more.values()), pa.int64())], schema)
+        kinds, names = b.column("kind").to_pylist(), b.column("gram").to_pylist()
+        hashes, part = np.zeros(len(kinds), c.U), np.zeros(len(kinds), np.int32)
+        for kind in set(kinds):
+            at = [i for i, k in enumerate(kinds) if k == kind]
+            points = points_of("".join(names[i] for i in at)).reshape(len(at), width[kind])
+            hashes[at] = gram_hash(points)
+            part[at] = c.bucket_of(hashes[at], parts[kind])
+        yield pa.record_batch([b.column("kind"), pa.array(part), pa.array(hashes.view(np.int64)), b.column("value")], names=["kind", "part", "hash", "value"])
 
 
 class Model:
-    """Modified Kneser-Ney: for each order sorted n-grams with their probability, and contexts with their back-off weight."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        keys, counts = keys[order].astype(np.uint32), counts[order].astype(np.float64)
-        self.grams, self.contexts = [], []
-        levels = {ORDER: (keys, counts)}
-        for n in range(ORDER - 1, 0, -1):  # continuation counts: in how many n+1-grams an n-gram stands last
-            k, m = np.unique(levels[n + 1][0] & np.uint32((1 << (6 * n)) - 1), return_counts=True)
-            levels[n] = k, m.astype(np.float64)
-        for n in range(1, ORDER + 1):
-            k, m = levels[n]
-            ones = [float((m == i).sum()) for i in (1, 2, 3, 4)]
-            y = ones[0] / (ones[0] + 2 * ones[1]) if ones[0] + ones[1] else 0.0
-            d = [0.0] + [min(max(i - (i + 1) * y * ones[i] / ones[i - 1] if ones[i - 1] else 0.5 * i, 0.05 * i), 0.95 * i) for i in (1, 2, 3)]
-            off = np.array(d)[np.minimum(m, 3).astype(int)]
-            ctx, first = np.unique(k >> np.uint32(6), return_index=True)
-            total, lost = np.add.reduceat(m, first) if len(first) else m, np.add.reduceat(off, first) if len(first) else off
-            size = np.diff([*first, len(k)])
-            self.grams.append((k, ((m - off) / np.repeat(total, size)).astype(np.float32)))
-            self.contexts.append((ctx, (lost / total).astype(np.float32)))
-
-    def dense(self) -> np.ndarray:
-        """Log probability of the last symbol of every possible n-gram, by searching the sorted arrays."""
-        p = np.full(SYMBOLS, 1 / SYMBOLS, np.float32)
-        for n, ((k, own), (ctx, weight)) in enumerate(zip(self.grams, self.contexts, strict=True)):
-            back = np.ones(SYMBOLS**n, np.float32)
-            back[ctx] = weight
-            p = (back[:, None] * p.reshape(-1, SYMBOLS)[np.arange(SYMBOLS**n) % max(1, SYMBOLS ** (n - 1))]).reshape(-1)
-            p[k] += own
-        return np.log(np.maximum(p, 1e-12), dtype=np.float32)
+    """Where the sorted hash arrays are: by kind (p: log probability, g: log back-off weight, each with its order) the files in order of hash."""
+
+    def __init__(self, files: dict[str, dict[int, str]], parts: dict[str, int], unseen: float):
+        self.files, self.parts, self.unseen = files, parts, unseen
+
+    def block(self, path: str) -> tuple[np.ndarray, np.ndarray]:
+        if path not in c.KEPT:
+            while len(c.KEPT) >= KEPT_BLOCKS:
+                c.KEPT.pop(next(iter(c.KEPT)))
+            fs, name = c.file_system(path)
+            t = pq.read_table(name, filesystem=fs, columns=["hash", "value"], partitioning=None)
+            hashes, values = t["hash"].to_numpy().view(c.U), t["value"].to_numpy()
+            order = np.argsort(hashes, kind="stable")  # sorted as written: nothing to do but to make sure
+            c.KEPT[path] = hashes[order], values[order]
+        return c.KEPT[path]
+
+    def find(self, kind: str, points: np.ndarray) -> np.ndarray:
+        """The values of rows of code points, NaN where there is none."""
+        key = f"{kind}{points.shape[1] + (kind == 'g')}"
+        hashes, out = gram_hash(points), np.full(len(points), np.nan, np.float32)
+        part = c.bucket_of(hashes, max(1, self.parts.get(key, 1)))
+        order = np.argsort(part, kind="stable")
+        for p, s in c.slices(part[order]):
+            if (path := self.files.get(key, {}).get(p)) is None:
+                continue
+            at, (known, values) = order[s], self.block(path)
+            where = np.searchsorted(known, hashes[at])
+            where[where == len(known)] = 0
+            out[at] = np.where(known[where] == hashes[at], values[where], np.nan)
+        return out
+
+    def log_probability(self, points: np.ndarray) -> np.ndarray:
+        """Of each row's last character after the others."""
+        out, weight, todo = np.full(len(points), self.unseen, np.float64), np.zeros(len(points)), np.arange(len(points))
+        for k in range(points.shape[1], 0, -1):
+            if not len(todo):
+                break
+            p = self.find("p", points[todo, -k:])
+            out[todo] = np.where(np.isnan(p), out[todo], p + weight[todo])
+            todo = todo[np.isnan(p)]
+            weight[todo] += np.nan_to_num(self.find("g", points[todo, -k:-1])) if len(todo) else 0
+        out[todo] += weight[todo]
+        return out
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
-    """Of all texts of docs; null texts count as empty."""
-    c.prepare(docs.sparkSession)
-    counts = docs.select(text).mapInArrow(partial(_count, text), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = counts.toPandas()  # at most 64**ORDER rows
-    return Model(rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
+    """Of all texts of docs; null and empty texts have no n-grams."""
+    spark = docs.sparkSession
+    c.prepare(spark)
+    counted = docs.select(text).mapInArrow(partial(_count, text), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    levels = {ORDER: c.stored(counted, "grams")}
+    for k in range(ORDER - 1, 0, -1):  # in how many n+1-grams an n-gram stands last
+        levels[k] = levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n"))
+    lower = None
+    for k in range(ORDER - 1, 0, -1):
+        one = levels[k].withColumn("level", F.lit(k))
+        lower = one if lower is None else lower.unionByName(one)
+    lower = c.stored(lower, "grams-lower")
+    levels |= {k: lower.where(F.col("level") == k).select("gram", "n") for k in range(1, ORDER)}
+    every = lower.unionByName(levels[ORDER].withColumn("level", F.lit(ORDER)))
+    told = every.groupBy("level").agg(F.count("*").alias("size"), F.sum("n").alias("total"), *(F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4))).collect()
+    about = {r["level"]: r for r in told}
+    if not about:
+        return Model({}, {}, 0.0)
+    unseen = float(np.log(1 / (about[1]["size"] + 1)))
+    rows, below, parts = None, None, {}
+    for k in range(1, ORDER + 1):
+        d = discounts(about[k])
+        off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        own = levels[k].select("gram", "n", F.substring("gram", 1, k - 1).alias("ctx"), off.alias("off"))
+        if k == 1:  # one context: its sums are known from the counts of counts
+            n = about[1]
+            lost = d[0] * n["n1"] + d[1] * n["n2"] + d[2] * (n["size"] - n["n1"] - n["n2"])
+            p = own.select("gram", ((F.col("n") - F.col("off")) / n["total"] + lost / n["total"] * float(np.exp(unseen))).alias("p"))
+            weights = spark.createDataFrame([("", lost / n["total"])], "gram string, p double")
+        else:
+            ctx = own.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("off").alias("lost"))
+            p = own.join(ctx, "ctx").withColumn("tail", F.substring("gram", 2, k - 1)).join(below.select(F.col("gram").alias("tail"), F.col("p").alias("q")), "tail")
+            p = p.select("gram", ((F.col("n") - F.col("off") + F.col("lost") * F.col("q")) / F.col("total")).alias("p"))
+            weights = ctx.select(F.col("ctx").alias("gram"), (F.col("lost") / F.col("total")).alias("p"))
+        both = p.withColumn("kind", F.lit(f"p{k}")).unionByName(weights.withColumn("kind", F.lit(f"g{k}")))
+        rows, below = both if rows is None else rows.unionByName(both), p
+        parts |= {f"p{k}": -(-about[k]["size"] // BLOCK), f"g{k}": -(-about[max(1, k - 1)]["size"] // BLOCK)}
+    width = {f"{kind}{k}": k - (kind == "g") for kind in "pg" for k in range(1, ORDER + 1)}
+    rows = rows.select("kind", "gram", F.log("p").cast("float").alias("value"))
+    rows = rows.mapInArrow(partial(_hashed, width, parts), "kind string, part int, hash long, value float")
+    folder = c.scratch(spark, "model")
+    rows.repartition(min(sum(parts.values()), c.partitions(spark)), "kind", "part").sortWithinPartitions("kind", "part", "hash").write.partitionBy("kind", "part").parquet(folder)
+    files: dict = {}
+    for path in spark.read.parquet(folder).inputFiles():
+        kind, part = re.search(r"kind=(\w+)/part=(\d+)/", path).groups()
+        files.setdefault(kind, {})[int(part)] = path
+    return Model(files, parts, unseen)
+
+
+def discounts(n) -> list[float]:
+    """Of n-grams seen once, twice and more often, from the counts of counts; within 0.05 and 0.95 of the count."""
+    ones = [float(n[f"n{i}"]) for i in (1, 2, 3, 4)]
+    y = ones[0] / (ones[0] + 2 * ones[1]) if ones[0] + ones[1] else 0.0
+    return [min(max(i - (i + 1) * y * ones[i] / ones[i - 1] if ones[i - 1] else 0.5 * i, 0.05 * i), 0.95 * i) for i in (1, 2, 3)]
 
 
 def rules(column) -> dict[str, np.ndarray]:
@@ -161,21 +296,42 @@ def rules(column) -> dict[str, np.ndarray]:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _score(text: str, sent, names: tuple, schema: pa.Schema, batches):
-    if sent.id not in c.KEPT:
-        c.KEPT.clear()
-        c.KEPT[sent.id] = sent.value.dense()
-    logs = c.KEPT[sent.id]
+def _spread(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """values of keys, all of which are in the sorted array: by a table of slots, and by search where slots clash."""
+    bits = max(10, int(8 * len(known)).bit_length())
+    slot = lambda k: (k * c.U(0x9E3779B97F4A7C15)) >> c.U(64 - bits)
+    table = np.zeros(1 << bits, np.int32)
+    table[slot(known)] = np.arange(len(known))
+    at = table[slot(keys)]
+    wrong = np.flatnonzero(known[at] != keys)
+    at[wrong] = np.searchsorted(known, keys[wrong])
+    return values[at]
+
+
+def losses(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the sum of negative log probabilities of its characters, and their number."""
+    total, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for held in _sections(texts):
+        for who, n, key, alphabet in grams(held):
+            known = np.unique(key)
+            logs = _spread(key, known, model.log_probability(unpacked(known, alphabet)))
+            upto = np.concatenate([[0.0], np.cumsum(logs)])
+            at = np.concatenate([[0], np.cumsum(n)])
+            np.add.at(total, who, -np.diff(upto[at]))
+            np.add.at(size, who, n)
+    return total, size
+
+
+@c.released
+def _score(text: str, model: Model, names: tuple, schema: pa.Schema, batches):
+    c.KEPT.clear()
     for b in batches:
-        for i in range(0, b.num_rows, _STEP):
-            part = b.slice(i, _STEP)
+        for part in c.pieces(b, text):
             column = part.column(text)
             counts = rules(column)
-            key, at = grams(column.to_pylist())
-            total = np.concatenate([[0.0], np.cumsum(logs[key], dtype=np.float64)])
-            size = np.diff(at)
+            total, size = losses(model, column.to_pylist())
             # in whole millionths, so that sums over a language do not depend on their order
-            loss = np.round(-np.diff(total[at]) / np.maximum(size, 1) * 1e6).astype(np.int64)
+            loss = np.round(total / np.maximum(size, 1) * 1e6).astype(np.int64)
             new = dict(zip(names, [*(pa.array(counts[k], pa.int64()) for k in COUNTS), pa.array(loss, pa.int64(), mask=size == 0)], strict=True))
             yield pa.record_batch([new.get(f.name) if f.name in new else part.column(f.name) for f in schema], schema)
 
@@ -184,23 +340,9 @@ def scored(docs: DataFrame, text: str = "text", model: Model | None = None) -> t
     """docs with the five counts and `log_perplexity` (millionths of a nat a character; null if empty), and their names."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    sent = docs.sparkSession.sparkContext.broadcast(model or train(docs, text))
     names = c.fresh(docs, *COUNTS, "log_perplexity")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
-    return docs.mapInArrow(partial(_score, text, _Sent(sent), tuple(names), to_arrow_schema(schema)), schema), names
-
-
-class _Sent:
-    """A broadcast with an identity that workers can keep it by."""
-
-    def __init__(self, broadcast):
-        import uuid
-
-        self.id, self.broadcast = uuid.uuid4().hex, broadcast
-
-    @property
-    def value(self):
-        return self.broadcast.value
+    return docs.mapInArrow(partial(_score, text, model or train(docs, text), tuple(names), to_arrow_schema(schema)), schema), names
 
 
 def base_failed(names: list[str]):
@@ -225,40 +367,36 @@ def bands(rows: DataFrame, names: list[str], lang: str, below: float, above: flo
     return found.select("lang", "pooled", ((F.col("q1") + F.col("q3")) / 2).alias("middle"), (spread * (below + 0.5)).alias("under"), (spread * (above + 0.5)).alias("over"))
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", below: float = 2.0, above: float = 2.0, least: int = 100) -> DataFrame:
-    """docs with the five counts, `log_perplexity`, `base_failed` and `kept`.
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", below: float = 2.5, above: float = 2.5, least: int = 100, keep_text: bool = True) -> DataFrame:
+    """docs with the five counts, `log_perplexity`, `base_failed` and `kept`; without the text if it is not to be kept.
 
     Words are runs of what is neither a space nor 0x09-0x0D.  A text fails the base rules with under 50 words, or if
     over half of them lie in 3-word windows that it repeats.  It is kept if it passes and its log
     perplexity lies in its language's band (ends included): from `below` quartile ranges below the lower quartile (boilerplate,
     lists) to `above` above the upper (garbled text), each times sqrt(1 + 50 / n_words), since short texts scatter more.  A null text is empty and fails; a
     null language is one of its own (pooled with the rare if under `least` texts).  Repeated rows each count; clashing
-    names of new columns get an underscore.
+    names of new columns get an underscore.  Texts are scored once: the rows are stored with what they scored.
     """
     rows, names = scored(docs, text)
-    small = c.stored(rows.select(F.col(lang).alias("lang"), *(F.col(x) for x in names)), "perplexity")
-    few = bands(small, names, "lang", below, above, least)
-    failed, kept = c.fresh(rows, "base_failed", "kept")
+    rows = c.stored(rows if keep_text else rows.drop(text), "perplexity")
+    few = c.stored(bands(rows, names, lang, below, above, least), "bands")
+    failed, kept, tongue, *limits = c.fresh(rows, "base_failed", "kept", "_lang", "_middle", "_under", "_over")
     rows = rows.withColumn(failed, base_failed(names))
-    own, rest = few.where(~F.col("pooled")), few.where("pooled").collect()
-    table = own.limit(MOST_BANDS + 1).collect()
-    pooled = [F.lit(rest[0][k] if rest else None).cast("double") for k in LIMITS]
-    if len(table) <= MOST_BANDS:  # in the plan; a join with more
-        middle, under, over = ([F.when(F.col(lang).eqNullSafe(F.lit(r["lang"])), F.lit(r[k])) for r in table] for k in LIMITS)
-        drop = []
-    else:
-        drop = c.fresh(rows, "_lang", "_middle", "_under", "_over")
-        rows = rows.join(own.select(*(F.col(k).alias(d) for k, d in zip(("lang", *LIMITS), drop, strict=True))), F.col(lang).eqNullSafe(F.col(drop[0])), "left")
-        middle, under, over = ([F.col(x)] for x in drop[1:])
-    off = F.col(names[5]) / 1e6 - F.coalesce(*middle, pooled[0])
-    scatter = F.sqrt(1 + 50 / F.col(names[0]))
-    inside = (-off <= F.coalesce(*under, pooled[1]) * scatter) & (off <= F.coalesce(*over, pooled[2]) * scatter)
-    return rows.withColumn(kept, ~F.col(failed) & F.coalesce(inside, F.lit(True))).drop(*drop)
+    rest = few.where("pooled").collect()  # one row at most
+    own = few.where(~F.col("pooled")).select(*(F.col(k).alias(d) for k, d in zip(("lang", *LIMITS), (tongue, *limits), strict=True)))
+    own = F.broadcast(own) if own.count() <= MOST_BANDS else own
+    rows = rows.join(own, F.col(lang).eqNullSafe(F.col(tongue)), "left")
+    middle, under, over = (F.coalesce(F.col(x), F.lit(rest[0][k] if rest else None).cast("double")) for x, k in zip(limits, LIMITS, strict=True))
+    off, scatter = F.col(names[5]) / 1e6 - middle, F.sqrt(1 + 50 / F.greatest(F.col(names[0]), F.lit(1)))
+    inside = (-off <= under * scatter) & (off <= over * scatter)
+    return rows.withColumn(kept, ~F.col(failed) & F.coalesce(inside, F.lit(True))).drop(tongue, *limits)
 
 
+#: Rows of the table of bands that a join broadcasts; with more, Spark joins as it sees fit.
 MOST_BANDS, LIMITS = 4096, ("middle", "under", "over")
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """doc_id, the five counts, base_failed, kept and log_perplexity of every document."""
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return judged(docs).select("doc_id", *COUNTS, "base_failed", "kept", "log_perplexity")
+    return judged(docs, keep_text=False).select("doc_id", *COUNTS, "base_failed", "kept", "log_perplexity")

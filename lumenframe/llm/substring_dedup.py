@@ -175,9 +175,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", k: int = 35) -> DataFram
     c.prepare(spark)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    block, buckets = (k + 1) // 2, c.bucket_count(spark)
+    block, chunks = (k + 1) // 2, c.chunk_count(docs, text)
+    buckets = c.bucket_count(spark, chunks)
     chunk, *names = c.fresh(docs, "chunk", "n_words", "n_removed", "kept_text", "repeats")
-    dealt = c.dealt(docs.withColumn(chunk, c.chunk_of(c.chunk_count(spark), *c.hashable(docs))), chunk)
+    dealt = c.dealt(docs.withColumn(chunk, c.chunk_of(chunks, *c.hashable(docs))), chunk)
     by_chunk = dealt.groupBy(chunk)
     anchors = by_chunk.applyInArrow(_anchors(text, chunk, block, buckets), _ANCHORS)
     hits = c.dealt(c.grouped(anchors, _hits, _HITS, "bucket"), "chunk")

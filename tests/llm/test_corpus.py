@@ -105,11 +105,31 @@ def test_rules_by_brute_force(spark, edge):
         assert g.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and not (g.base_failed and g.kept)
 
 
-def test_model_is_a_distribution(spark, edge):
+def test_model_is_a_distribution(spark):
     import numpy as np
 
-    p = np.exp(quality_rules.train(edge).dense().astype(float)).reshape(-1, quality_rules.SYMBOLS).sum(1)
-    assert abs(p - 1).max() < 1e-3
+    texts = ["abracadabra abba", "Ωμέγα 12 漢字!", None, "", "abab" * 30, "\U0001F600 a"]
+    model = quality_rules.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    known = sorted({int(x) for t in texts for x in quality_rules.symbols(t)})
+    symbols = np.array([*known, 0x2FFFF], np.uint32)  # and one that the texts do not have
+    for ctx in ([0, 0, 0], [97, 98, 97], [98, 98, 98], [0x2FFFF, 97, 98], [1, 2, 3]):
+        rows = np.column_stack([np.tile(np.array(ctx, np.uint32), (len(symbols), 1)), symbols])
+        assert abs(np.exp(model.log_probability(rows)).sum() - 1) < 1e-4
+
+
+def test_sections_do_not_change_what_is_counted(spark, monkeypatch):
+    import numpy as np
+
+    texts = ["".join(chr(0x4E00 + i * j % 997) for i in range(400)) for j in (1, 7)] + ["plain words " * 50, None]
+    want = Counter(tuple(g) for t in texts if t for g in np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(quality_rules._PAD, np.uint32), quality_rules.symbols(t)]), quality_rules.ORDER).tolist())
+    monkeypatch.setattr(quality_rules, "SECTION", 64)
+    monkeypatch.setattr(quality_rules, "ALPHABET", 32)
+    monkeypatch.setattr(quality_rules, "CODE_BITS", 5)
+    got = Counter()
+    for held in quality_rules._sections(texts):
+        for _, _, key, alphabet in quality_rules.grams(held):
+            got.update(map(tuple, (quality_rules.unpacked(key, alphabet)).tolist()))
+    assert got == want
 
 
 def test_classifier_separates_held_out_labels(spark):

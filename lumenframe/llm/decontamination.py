@@ -1,21 +1,24 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised test items.
 
-Items and texts are normalised alike: A-Z lower-cased, words are runs of digits, letters and
-non-ASCII characters, joined by single spaces.  The automaton holds each item's windows with a space at both
-ends, so that it matches whole words only, and reads each text once.  Matches are mapped to words, and in
-texts that have any to characters of the original.
-
-The items are sent to the workers in blocks of BLOCK_CHARS characters, one block in all usual cases; each
-further block is another pass over texts checkpointed with what was found so far.
+Items and texts are normalised alike: A-Z lower-cased, words are runs of digits, letters and non-ASCII characters.
+Each word of the items is coded as two symbols, one of either of two alphabets, so that a match is of whole words
+and a node has few children; a word that no item has is a symbol of its own.  The automaton holds each
+item's windows and reads each text once.  Matches are mapped to words, and in texts that have any to characters of the
+original.
+
+An automaton takes about 140 bytes a character of the items.  They are dealt by their ids to blocks of about BLOCK_CHARS
+characters, one block in usual cases; the driver and the workers hold one block at a time, and each further block is
+another pass over texts stored with what was found so far.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import uuid
 from functools import partial
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +26,8 @@ from pyspark.sql import types as T
 
 from . import common as c
 
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
+_OTHER = "\x01\x01"
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _NORMAL = bytes(32 if c.NON_ALNUM[c.LOWER[i]] else int(c.LOWER[i]) for i in range(256))
 FOUND = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
@@ -39,61 +43,53 @@ def item_windows(text: str | None, k: int) -> set[bytes]:
 
 
 def automaton(items: list[tuple[str | None, str | None]], k: int):
-    """None if no item has a word. Its values: number of words, and the items that have the window."""
+    """The automaton and the code of each word; None if no item has a word. Its values: number of words, and the items that have the window."""
     owners: dict[bytes, set] = {}
     for item, text in items:
         for w in item_windows(text, k):
             owners.setdefault(w, set()).add(item)
     if not owners:
         return None
+    known = sorted({x for w in owners for x in w.split(b" ")})
+    base = math.isqrt(len(known)) + 1
+    codes = {w: chr(0x100 + i // base) + chr(0x100 + base + i % base) for i, w in enumerate(known)}
     a = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        a.add_word(f" {w.decode('utf-8', 'surrogatepass')} ", (w.count(b" ") + 1, tuple(sorted(i for i in ids if i is not None))))
+    while owners:
+        w, ids = owners.popitem()
+        x = w.split(b" ")
+        a.add_word("".join(map(codes.__getitem__, x)), (len(x), tuple(sorted(i for i in ids if i is not None))))
     a.make_automaton()
-    return a
+    return a, codes
 
 
-def matches(a, text: str | None) -> tuple[int, list[tuple[int, int, tuple]]]:
+def matches(found_by, text: str | None) -> tuple[int, list[tuple[int, int, tuple]]]:
     """Number of words, and of each match the first word, the last word plus one, and the items."""
     w = normal_words(text)
-    if a is None or not w:
-        return len(w), []
-    found = list(a.iter(f" {b' '.join(w).decode('utf-8', 'surrogatepass')} "))
-    if not found:
+    if found_by is None or not w:
         return len(w), []
-    ends = np.cumsum([len(x.decode("utf-8", "surrogatepass")) + 1 for x in w])  # where the space after each word is
-    at = np.searchsorted(ends, [e for e, _ in found]) + 1
-    return len(w), [(int(e) - n, int(e), ids) for e, (n, ids) in zip(at, (v for _, v in found), strict=True)]
+    a, codes = found_by
+    found = a.iter("".join([codes.get(x, _OTHER) for x in w]))
+    return len(w), [((e + 1) // 2 - n, (e + 1) // 2, ids) for e, (n, ids) in found]
 
 
-def _scan(text: str, hits: str, items, key: int, k: int, schema: pa.Schema, batches):
+@c.released
+def _scan(text: str, words: str, hits: str, items, key: str, k: int, schema: pa.Schema, batches):
     """Adds to `hits` what the block of items finds."""
     if key not in c.KEPT:
         c.KEPT.clear()
         c.KEPT[key] = automaton(items.value, k)
     a = c.KEPT[key]
-    for b in batches:
-        n, out = [], []
-        for s in b.column(text):
-            count, found = matches(a, s.as_py())
-            n.append(count)
-            out.append([{"first": i, "last": j - 1, "items": ids} for i, j, ids in found])
-        if hits in b.schema.names:
-            out = [(old or []) + new for old, new in zip(b.column(hits).to_pylist(), out, strict=True)]
-        columns = [pa.array(n, pa.int64()) if f.name == "n" else pa.array(out, f.type) if f.name == hits else b.column(f.name) for f in schema]
-        yield pa.record_batch(columns, schema)
-
-
-def _blocks(benchmark: DataFrame, item_id: str, text: str) -> list[list]:
-    """The items in blocks that the driver can hold: none has over BLOCK_CHARS characters but for a single item."""
-    blocks, size = [[]], 0
-    for item, s in benchmark.select(F.col(item_id).cast("string"), text).toLocalIterator(prefetchPartitions=False):
-        size += len(s or "")
-        if blocks[-1] and size > BLOCK_CHARS:
-            blocks.append([])
-            size = len(s or "")
-        blocks[-1].append((item, s))
-    return blocks
+    for whole in batches:
+        for b in c.pieces(whole, text):
+            n, out = [], []
+            for s in b.column(text):
+                count, found = matches(a, s.as_py())
+                n.append(count)
+                out.append([{"first": i, "last": j - 1, "items": ids} for i, j, ids in found])
+            if hits in b.schema.names:
+                out = [(old or []) + new for old, new in zip(b.column(hits).to_pylist(), out, strict=True)]
+            columns = [pa.array(n, pa.int64()) if f.name == words else pa.array(out, f.type) if f.name == hits else b.column(f.name) for f in schema]
+            yield pa.record_batch(columns, schema)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 10) -> DataFrame:
@@ -109,28 +105,27 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
 
     spark = docs.sparkSession
     c.prepare(spark)
-    n, hits, *new = c.fresh(docs, "n", "hits", "n_words", "n_hit", "item_ids", "contaminated", "spans")
-    if n != "n":
-        docs = docs.withColumnRenamed("n", "n$")
-    plain = docs.schema
-    schema = T.StructType([*plain.fields, T.StructField("n", T.LongType()), T.StructField(hits, T.ArrayType(FOUND))])
+    n, hits, *new = c.fresh(docs, "_n", "_hits", "n_words", "n_hit", "item_ids", "contaminated", "spans")
+    schema = T.StructType([*docs.schema.fields, T.StructField(n, T.LongType()), T.StructField(hits, T.ArrayType(FOUND))])
     arrow = to_arrow_schema(schema)
-    df, blocks = docs, _blocks(benchmark, item_id, item_text)
-    for i, block in enumerate(blocks):
-        sent = spark.sparkContext.broadcast(block)
-        df = df.mapInArrow(partial(_scan, text, hits, sent, id(sent) ^ hash((i, len(block), str(block[:1]))), k, arrow), schema)
-        if i + 1 < len(blocks):
+    blocks = max(1, -(-(benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0) // BLOCK_CHARS))
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
+    df = docs
+    for i in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == i).collect()  # BLOCK_CHARS characters, about
+        sent = spark.sparkContext.broadcast([tuple(r) for r in block])
+        df = df.mapInArrow(partial(_scan, text, n, hits, sent, uuid.uuid4().hex, k, arrow), schema)
+        if i + 1 < blocks:
             df = c.stored(df, "decontaminate")
-    out = T.StructType([*plain.fields, *(T.StructField(x, t) for x, t in zip(new, (T.LongType(), T.LongType(), T.ArrayType(T.StringType()), T.BooleanType(), T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))), strict=True))])
-    df = df.mapInArrow(partial(_told, text, hits, tuple(new), to_arrow_schema(out)), out)
-    return df.withColumnRenamed("n$", "n") if n != "n" else df
+    out = T.StructType([*docs.schema.fields, *(T.StructField(x, t) for x, t in zip(new, (T.LongType(), T.LongType(), T.ArrayType(T.StringType()), T.BooleanType(), T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))), strict=True))])
+    return df.mapInArrow(partial(_told, text, n, hits, tuple(new), to_arrow_schema(out)), out)
 
 
-def _told(text: str, hits: str, new: tuple, schema: pa.Schema, batches):
+def _told(text: str, words: str, hits: str, new: tuple, schema: pa.Schema, batches):
     for b in batches:
         sums = {x: [] for x in new}
         column = b.column(text)
-        for i, (n, found) in enumerate(zip(b.column("n").to_pylist(), b.column(hits).to_pylist(), strict=True)):
+        for i, (n, found) in enumerate(zip(b.column(words).to_pylist(), b.column(hits).to_pylist(), strict=True)):
             runs: list[list[int]] = []
             for x in sorted(found, key=lambda x: (x["first"], x["last"])):
                 if runs and x["first"] <= runs[-1][1] + 1:
@@ -146,6 +141,7 @@ def _told(text: str, hits: str, new: tuple, schema: pa.Schema, batches):
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document, against the whole benchmark."""
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scan(docs, c.table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), "contaminated")

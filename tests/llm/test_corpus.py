@@ -52,6 +52,36 @@ def test_every_row_stays_and_old_columns_are_kept(spark, edge, name):
     assert OPERATORS[name](spark, edge.limit(0)).count() == 0
 
 
+def scan_by_brute_force(texts, items, k):
+    low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+    windows = {}
+    for i, t in items:
+        w = low(t)
+        for at in range(max(1, len(w) - k + 1)) if w else ():
+            windows.setdefault(tuple(w[at : at + k]), set()).add(i)
+    out = []
+    for t in texts:
+        w, hit, ids = low(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for at in range(len(w) - n + 1):
+                if found := windows.get(tuple(w[at : at + n])):
+                    hit |= set(range(at, at + n))
+                    ids |= {str(x) for x in found if x is not None}
+        out.append((len(w), len(hit), sorted(ids)))
+    return out
+
+
+@pytest.mark.parametrize("block", [2_000_000, 40])
+def test_scans_of_one_session_keep_to_their_own_benchmark(spark, monkeypatch, block):
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", block)
+    texts = ["a b c d e f g h i j k l", "x A, b.C d e y", None, "é è c d"]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, _n int").coalesce(1)
+    for last in ("c d e f", "e y", "zz", "É", "k l", "c d"):
+        items = [(1, "a b c d e"), (2, last), (3, None), (None, "l")]
+        out = decontamination.scan(docs, spark.createDataFrame(items, "item_id long, text string"), k=3).orderBy("doc_id").collect()
+        assert [(r.n_words, r.n_hit, r.item_ids) for r in out] == scan_by_brute_force(texts, items, 3)
+
+
 def test_repeats_by_brute_force(spark, edge):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(edge.select("doc_id", "text"))
     rows = docs.collect()

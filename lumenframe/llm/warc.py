@@ -13,6 +13,7 @@ header, length and digest is validated.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 from functools import partial
@@ -35,6 +36,14 @@ def record_id(key: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'lumenframe:' + key)}>"
 
 
+_UNSAFE = re.compile(r"[\x00-\x20\x7f-\xa0\u2028\u2029]")
+
+
+def header_uri(uri: str) -> str:
+    """The target as a header can hold it: control characters and spaces percent-encoded."""
+    return _UNSAFE.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), uri)
+
+
 def record(kind: str, key: str, uri: str, payload: bytes, digest: str, refers_key: str | None) -> bytes:
     """One WARC record; a revisit keeps the HTTP header and drops the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -44,7 +53,7 @@ def record(kind: str, key: str, uri: str, payload: bytes, digest: str, refers_ke
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: {record_id(key)}",
         f"WARC-Date: {_DATE}",
-        f"WARC-Target-URI: {uri}",
+        f"WARC-Target-URI: {header_uri(uri)}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         "Content-Type: application/http; msgtype=response",
@@ -68,6 +77,7 @@ def _leading(raw: bytes) -> bytes:
     return struct.pack("<II", MAGIC, len(frame)) + frame
 
 
+@c.released
 def _write(folder: str, raw: bytes, batches):
     fs, root = pa.fs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
@@ -148,6 +158,7 @@ def frames(data: memoryview):
         yield b"".join(parts)
 
 
+@c.released
 def _read(payloads: bool, batches):
     fields = [x.split() for x in RECORDS.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
@@ -195,28 +206,24 @@ def _row(path: str, data, payloads: bool) -> tuple:
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes a record for each row and returns a stored table of archive names.
 
-    A null html is an empty payload, a null url an empty target.  Of rows with equal payloads of MIN_REVISIT bytes or
-    more, that with the smallest page_id (null last) is the response, other ids revisit it; repeated rows of that id are responses too.
+    A null html is an empty payload, a null url an empty target; of a url's control characters and spaces the header has the
+    percent-encoding.  Ids may be of any type that sorts.  Of rows with equal payloads of MIN_REVISIT bytes or more, that
+    with the smallest page_id (null last) is the response, other ids revisit it; repeated rows of that id are responses too.
+    A payload that many pages share makes a skewed join, which Spark splits as it runs.
     """
     spark = pages.sparkSession
     c.prepare(spark)
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = pages.select(F.col(page_id).cast("long").alias("page"), F.coalesce(F.col(url), F.lit("")).alias("uri"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    last = F.coalesce(F.col("page"), F.lit((1 << 63) - 1))
-    heads = rows.where(F.length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min(last).alias("head"), F.count("*").alias("n")).where("n > 1")
-    # a payload that rows share is dealt to SALTS parts, and its line of `heads` copied to each
-    heads = heads.select("digest", "head", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64(last, "uri"), F.lit(SALTS)).cast("int")).join(heads, ["digest", "salt"], "left")
-    refers = F.when(F.col("head") != last, F.col("head").cast("string"))
+    rows = pages.select(F.col(page_id).alias("page"), F.coalesce(F.col(url), F.lit("")).alias("uri"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
+    heads = rows.where(F.length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = rows.join(heads, "digest", "left")
+    refers = F.when(F.col("head").isNotNull() & ~F.col("head").eqNullSafe(F.col("page")), F.col("head").cast("string"))
     rows = rows.select(F.coalesce(F.col("page").cast("string"), F.lit("null")).alias("key"), "uri", "payload", "digest", refers.alias("refers"))
     samples = [bytes(r[0]) for r in pages.select(F.substring(F.col(html).cast("binary"), 1, 4096)).where(F.length(html) > 0).limit(SAMPLE).collect()]
     raw = dictionary([record("response", "", "", s, "", None) for s in samples])
     return c.stored(rows.mapInArrow(partial(_write, folder, raw), "archive string"), "warc-list")
 
 
-SALTS = 16
-
-
 def read(spark, archives: DataFrame, payloads: bool = True) -> DataFrame:
     """Records of the listed archives (columns RECORDS); what is not valid has an `error` and nothing else."""
     c.prepare(spark)
@@ -228,9 +235,11 @@ def read(spark, archives: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every page, as read back; a record that is not valid ends the query with its error."""
     pages = c.table(spark, sf_dir, "pages").select("page_id", "url", "html")
     folder = c.scratch(spark, "warc")
     found = read(spark, write(pages, folder if "://" in folder else f"file://{folder}"), payloads=False)
+    found = found.withColumn("id", F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", "archive", "error"))).otherwise(F.col("id")))
     known = pages.select("page_id").distinct().select("page_id", F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("key"))
     named = known.select("page_id", _record_id(F.col("key")).alias("id"))
     out = found.join(named, "id").join(named.select(F.col("page_id").alias("referred"), F.col("id").alias("refers_to")), "refers_to", "left")

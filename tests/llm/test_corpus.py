@@ -227,6 +227,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(spark, warc.write(pages.limit(0), f"file://{tmp_path}/e")).count() == 0
 
 
+def test_warc_keeps_every_row_whatever_its_url_and_id(spark, tmp_path):
+    body = "x" * 150
+    rows = [("b", "http://a/\r\nWARC-Type: junk\r\n\r\n", body), ("a", "u\u2028\x00 ", body), (None, "u", body), ("a", "u", body), ("z", "é", "")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = warc.read(spark, warc.write(pages, f"file://{tmp_path}/w")).collect()
+    assert len(got) == 5 and not any(r.error for r in got) and {r.id for r in got} == {warc.record_id(k) for k in ("a", "b", "null", "z")}
+    assert sorted(r.type for r in got) == ["response"] * 3 + ["revisit"] * 2 and {r.refers_to for r in got} == {None, warc.record_id("a")}
+    spark.createDataFrame([(i, r[1], r[2]) for i, r in enumerate(rows)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.op6_warc(spark, str(tmp_path)).collect()) == [(0, "response", None), (1, "revisit", 0), (2, "revisit", 0), (3, "revisit", 0), (4, "response", None)]
+
+
 def test_warc_reader_reports_damage():
     good = warc.record("response", "1", "u", b"abc", hashlib.sha256(b"abc").hexdigest(), None)
     assert warc._row("p", good, True)[7] == b"abc"

@@ -1,28 +1,32 @@
 """Surrogates for personal data, with DataFrame functions only.
 
-Entities are found by one pattern, and each is replaced by a value drawn from HMAC-SHA-256 under the given key of
-its type and normal form: equal entities get equal surrogates, in every text (coreference), and those of
-another key differ.  A surrogate keeps the entity's type and format: separators, case, lengths, country codes, card
-networks and valid check digits, private address ranges, a name's script and its title's gender.
-
-Collisions are checked over all distinct entities: where two have one surrogate, or a surrogate is
-a real entity of the same type, all but one draw again, until none is left.  Texts are rewritten in place
-without a shuffle; only where an entity did draw again are texts joined, by hash, with the draws they need.
+Entities are found by one pattern, with a group for each kind, in one pass over the text.  Each is replaced by a keyed permutation of
+what may vary in its normal form: a Feistel network over the characters, whose rounds add HMAC-SHA-256 streams to every other
+character within that character's own alphabet.  So equal entities get equal surrogates, in every text and writing (coreference),
+different ones of a kind get different ones by construction, whatever their number, and nothing is drawn again.  A surrogate keeps type
+and format: separators, case, country codes, card networks, valid check digits, address ranges, a name's script, length,
+vowels and the ending that shows its gender.
+
+Each text is stored once with its entities; the collision check runs over all distinct entities, on the values that are written, and
+ends the job if two had one surrogate.  Surrogates are drawn from the same space as real values, and so may equal the real value of
+someone else; e-mail addresses end in `.example`, which is nobody's.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
 
 # Patterns of entities, in order of precedence.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 IPV6 = r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 ACCESS_KEY = r"(?<![A-Za-z0-9])A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-TOKEN = r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])"
+TOKEN = r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = (
@@ -30,22 +34,44 @@ PHONE = (
     r"|(?<![0-9A-Za-z+])\+(?:[2-9][0-9]{0,2})[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
     r"|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[-.][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-])"
 )
-CARD = r"(?<![0-9A-Za-z-])(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9A-Za-z])"
-MALE, FEMALE, EITHER = r"Mr\.|Herr|Monsieur|Señor|Sr\.|г-н", r"Mrs\.|Ms\.|Miss|Frau|Madame|Mme\.?|Señora|Sra\.|г-жа", r"Dr\.|Prof\."
-PERSON = rf"(?<=(?<!\p{{L}})(?:{MALE}|{FEMALE}|{EITHER}) )\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})"
-KINDS = {"email": EMAIL, "ipv6": IPV6, "access_key": ACCESS_KEY, "token": TOKEN, "iban": IBAN, "ipv4": IPV4, "ssn": SSN, "phone": PHONE, "card": CARD}
-HINT = rf"[0-9@]|(?:{MALE}|{FEMALE}|{EITHER}) \p{{Lu}}"
-# Syllables of names by script, and endings by gender.
-SYLLABLES = {
-    "latin": "ba be bi bo da de di do fa fe fi ga ge go ha he ja jo ka ke ki la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi vo za ze zo".split(),
-    "cyrillic": "ба бе би бо ва ве ви во га ге го да де ди до за зе зи ка ке ки ко ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се си со та те ти то".split(),
-    "greek": "βα βε βι γα γε δα δε δι ζα ζω θα θε κα κε κι λα λε λι μα με μι να νε νι πα πε ρα ρε ρι σα σε σι τα τε τι φα φε χα".split(),
-}
-ENDINGS = {"latin": {"m": "n", "f": "a", "x": "r"}, "cyrillic": {"m": "н", "f": "на", "x": "р"}, "greek": {"m": "ς", "f": "η", "x": "ν"}}
-
-
-#: The card's separator is the only group.
-PATTERN = "|".join([*KINDS.values(), PERSON])
+CARD = r"(?<![0-9A-Za-z-])(?:[0-9]{4}(?<sep>[ -]?)[0-9]{4}\k<sep>[0-9]{4}\k<sep>[0-9]{1,7}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9A-Za-z])"
+TITLES = r"Mr\.|Herr|Monsieur|Señor|Sr\.|г-н|Mrs\.|Ms\.|Miss|Frau|Madame|Mme\.?|Señora|Sra\.|г-жа|Dr\.|Prof\."
+PERSON = rf"(?=\p{{Lu}}\p{{Ll}})(?<=(?<!\p{{L}})(?:{TITLES}) )\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})"
+KINDS = {"email": EMAIL, "ipv6": IPV6, "accesskey": ACCESS_KEY, "token": TOKEN, "iban": IBAN, "ipv4": IPV4, "ssn": SSN, "phone": PHONE, "card": CARD, "name": PERSON}
+# What a kind starts with is looked at first, so that most places of a text cost one look.
+STARTS = {"": ["email"], "[0-9A-Fa-f]": ["ipv6", "token"], "[A-Z]": ["accesskey", "iban"], "[0-9+(]": ["ipv4", "ssn", "phone", "card"], r"\p{Lu}": ["name"]}
+PATTERN = "|".join(f"(?={start})(?:{'|'.join(f'(?<{k}>{KINDS[k]})' for k in kinds)})" for start, kinds in STARTS.items())
+
+
+def hinted(text: Column) -> Column:
+    """Whether a text may have entities at all."""
+    out = text.rlike("[0-9@]")
+    for title in TITLES.replace("\\", "").replace("?", "").split("|"):
+        out = out | text.contains(f"{title} ")
+    return out | text.contains("Mme ")
+
+
+# Alphabets within which a character is replaced; what is in none stays.
+DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+VOWELS = ["aeiou", "áéíóúàèìòùâêîôûäëïöüãõåæøœ", "аеиоуыэюя", "αεηιουω", "άέήίόύώ"]
+CONSONANTS = ["bcdfghjklmnpqrstvwxyz", "çñßšžčřłđ", "бвгджзйклмнпрстфхцчшщ", "βγδζθκλμνξπρστφχψ"]
+#: Endings that show a name's gender stay.
+ENDINGS = "aáeéаяαηάής"
+
+# A string stands for an entity's varying part: other digits, and octets, have symbols and alphabets of their own.
+_FIXED_DIGITS, _AREA, _OTHER_AREA = "KLMNOPQRST", "cdefghij", "ab"  # a digit that stays; a first digit of 2-9; of 0 or 1
+_OCTETS = "".join(chr(0x4E00 + i) for i in range(256))
+_FIXED_OCTETS = "".join(chr(0x5E00 + i) for i in range(256))
+_SPECIAL = {0, 10, 127, 172, 192, *range(224, 256)}  # first octets that stay
+_PLAIN = [i for i in range(256) if i not in _SPECIAL]
+_FIRST = "".join(chr(0x6E00 + i) for i in range(len(_PLAIN)))
+ALPHABETS = {"email": [DIGITS, LOWER], "ipv6": [HEX], "accesskey": [DIGITS, UPPER], "token": [HEX], "iban": [DIGITS, UPPER], "ipv4": [_OCTETS, _FIRST], "ssn": [DIGITS], "phone": [DIGITS, _AREA, _OTHER_AREA], "card": [DIGITS], "name": [*VOWELS, *CONSONANTS]}
+_SEP, _GROUP = "\u0001", "\u0002"
+
+
+def let(value: Column, f) -> Column:
+    """f(value), value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def hmac(key: bytes, message: Column) -> Column:
@@ -57,42 +83,59 @@ def hmac(key: bytes, message: Column) -> Column:
     return F.sha2(F.concat(F.lit(bytearray(b ^ 0x5C for b in block)), inner), 256)
 
 
-def kind_of(raw: Column, before: Column) -> Column:
-    """Type of a match: names by the title before it."""
-    kind = None
-    for name, p in KINDS.items():
-        hit = raw.rlike(f"^(?:{p})$")
-        kind = F.when(hit, name) if kind is None else kind.when(hit, name)
-    return kind.when(before.rlike(f"(?:{FEMALE}) $"), "name_f").when(before.rlike(f"(?:{MALE}) $"), "name_m").otherwise("name_x")
+def permuted(key: bytes, kind: Column, s: Column, alphabets: Column, rounds: int = 4) -> Column:
+    """A permutation, under the key, of the strings of s's kind and pattern of alphabets.
 
+    Round r adds to each character whose place is r modulo 2 a stream that depends on the other characters only.
+    """
 
-def normal(kind: Column, raw: Column) -> Column:
-    """The form in which writings of one entity are equal."""
-    digits = F.regexp_replace(raw, r"(?!^\+)[^0-9]", "")  # a leading + stays: it decides which digits a surrogate keeps
-    return (
-        F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.replace(raw, F.lit(" "), F.lit(""))).when(kind.isin("email", "ipv6"), F.lower(raw)).otherwise(raw)
-    )
+    def shifted(ch: Column, by: Column) -> Column:
+        return let(F.get(F.filter(alphabets, lambda a: F.instr(a, ch) > 0), F.lit(0)), lambda a: F.when(a.isNull() | (ch == ""), ch).otherwise(a.substr(((F.instr(a, ch) - 1 + by) % F.length(a) + 1).cast("int"), F.lit(1))))
 
+    def one(s: Column, r: Column) -> Column:
+        chars = F.split(s, "")
+        others = F.array_join(F.transform(chars, lambda ch, i: F.when(i % 2 == r % 2, F.lit("\u0000")).otherwise(ch)), "")
+        stream = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(s) / 32)), lambda b: hmac(key, F.concat_ws("\x1f", kind, r.cast("string"), b.cast("string"), others))), "")
+        byte = lambda st, i: F.conv(st.substr((2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+        return let(stream, lambda st: F.array_join(F.transform(chars, lambda ch, i: F.when(i % 2 == r % 2, shifted(ch, byte(st, i))).otherwise(ch)), ""))
 
-def _number(h: Column, at: int, n: int = 12) -> Column:
-    return F.conv(F.substring(h, at, n), 16, 10).cast("long")
+    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), s, one)
 
 
-def _streams(h: Column) -> tuple[Column, Column]:
-    """45 digits and 64 letters of a hash."""
-    return F.concat(*(F.lpad((_number(h, a, 15) % 10**15).cast("string"), 15, "0") for a in (1, 16, 31))), F.translate(h, "0123456789abcdef", "bcdfghjklmnprtvx")
+def normal(kind: Column, raw: Column) -> Column:
+    """The form in which writings of one entity are equal: a phone's has a + before another country's code than 1."""
+    digits = F.regexp_replace(raw, "[^0-9]", "")
+    phone = F.when(raw.startswith("+1"), digits.substr(2, 40)).when(raw.startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits)
+    return (
+        F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.replace(raw, F.lit(" "), F.lit(""))).when(kind == "email", F.lower(raw))
+        .when(kind == "ipv6", F.array_join(F.transform(F.split(F.lower(raw), ":"), lambda g: F.lpad(g, 4, "0")), "")).when(kind == "name", F.lower(raw)).otherwise(raw)
+    )
 
 
-def _reshape(raw: Column, digits: Column, letters: Column) -> Column:
-    """raw with its k-th letter or digit taken from the streams, case and all else kept."""
-    start = F.struct(F.lit("").alias("o"), F.lit(0).alias("k"))
+def _fixed(digits: Column) -> Column:
+    return F.translate(digits, DIGITS, _FIXED_DIGITS)
 
-    def step(a, ch):
-        k = a["k"] % 45 + 1
-        new = F.when(ch.rlike("[0-9]"), digits.substr(k, F.lit(1))).when(ch.rlike("[a-z]"), letters.substr(k, F.lit(1))).when(ch.rlike("[A-Z]"), F.upper(letters.substr(k, F.lit(1)))).otherwise(ch)
-        return F.struct(F.concat(a["o"], new).alias("o"), (a["k"] + F.when(ch.rlike("[A-Za-z0-9]"), 1).otherwise(0)).alias("k"))
 
-    return F.aggregate(F.split(raw, ""), start, step, lambda a: a["o"])
+def _tail(s: Column, at: int) -> Column:
+    return s.substr(F.lit(at), F.length(s))
+
+
+def varying(kind: Column, n: Column) -> Column:
+    """Of a normal form the part that is permuted, what stays in it written so that no alphabet has it."""
+    first = n.substr(1, 1)
+    phone = F.when(first == "+", F.concat(_fixed(n.substr(2, 2)), _tail(n, 4))).otherwise(F.concat(F.translate(first, DIGITS, _OTHER_AREA + _AREA), _tail(n, 2)))
+    octets = F.transform(F.split(n, r"\."), lambda x: x.cast("int"))
+    symbol = lambda table, v: F.lit(table).substr((v + 1).cast("int"), F.lit(1))
+    plain = F.translate(symbol(_OCTETS, octets[0]), "".join(_OCTETS[i] for i in _PLAIN), _FIRST)
+    two = octets[0].isin(172, 192, 0) | (octets[0] >= 224)  # the second octet tells ranges apart: it stays too
+    head = F.when(octets[0].isin(*sorted(_SPECIAL)), symbol(_FIXED_OCTETS, octets[0])).otherwise(plain)
+    ipv4 = F.concat(head, F.when(two, symbol(_FIXED_OCTETS, octets[1])).otherwise(symbol(_OCTETS, octets[1])), symbol(_OCTETS, octets[2]), symbol(_OCTETS, octets[3]))
+    last = n.substr(F.length(n), F.lit(1))
+    name = F.when((F.length(n) > 3) & F.lit(ENDINGS).contains(last), F.concat(n.substr(F.lit(1), F.length(n) - 1), F.upper(last))).otherwise(n)
+    return (
+        F.when(kind == "phone", phone).when(kind == "card", F.concat(_fixed(first), n.substr(F.lit(2), F.length(n) - 2))).when(kind == "iban", _tail(n, 5)).when(kind == "ipv4", ipv4)
+        .when(kind == "ipv6", F.concat(F.translate(n.substr(1, 4), HEX, "KLMNOPQRSTUVWXYZ"), _tail(n, 5))).when(kind == "accesskey", _tail(n, 5)).when(kind == "name", name).otherwise(n)
+    )
 
 
 def _luhn(digits: Column) -> Column:
@@ -106,139 +149,127 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda a, i: a + term(i)) % 10
 
 
-def _name(kind: Column, raw: Column, h: Column) -> Column:
-    """Syllables of raw's script, three or four, and an ending of the gender; a capital first."""
-
-    def of(script):
-        s = SYLLABLES[script]
-        parts = [F.element_at(F.array(*map(F.lit, s)), (_number(h, 1 + 8 * i, 8) % len(s) + 1).cast("int")) for i in range(4)]
-        end = F.when(kind.endswith("f"), ENDINGS[script]["f"]).when(kind.endswith("m"), ENDINGS[script]["m"]).otherwise(ENDINGS[script]["x"])
-        return F.initcap(F.concat(*parts, end))
-
-    return F.when(raw.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(raw.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
-
-
-def surrogate(key: bytes, kind: Column, raw: Column, draw: Column) -> Column:
-    """The replacement of one entity (of one name, of a person's), at its draw from 0."""
-    h = hmac(key, F.concat_ws("\x1f", kind, normal(kind, raw), draw.cast("string")))
-    digits, letters = _streams(h)
-    flat = F.regexp_replace(raw, "[^0-9]", "")
-    first = (_number(h, 50) % 8 + 2).cast("string")  # area codes start with 2-9
-    country = F.when(~raw.startswith("+"), F.lit(0)).when(raw.startswith("+1"), F.lit(1)).otherwise(F.lit(2))
-    phone = F.concat(flat.substr(F.lit(1), country), first, digits)
-    body = F.concat(flat.substr(F.lit(1), F.lit(1)), digits).substr(F.lit(1), F.length(flat) - 1)
-    check = ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string")
-    card = F.when(_luhn(flat) == 0, F.concat(body, check)).otherwise(F.concat(body, digits.substr(F.lit(40), F.lit(1))))
-    octets = [(_number(h, 1 + 6 * i, 6) % 256).cast("string") for i in range(4)]
-    last = (_number(h, 30, 6) % 254 + 1).cast("string")
-    two = F.concat(octets[2], F.lit("."), last)
-    ipv4 = (
-        F.when(raw.rlike(r"^(?:10|127)\."), F.concat(F.regexp_extract(raw, r"^([0-9]+\.)", 1), octets[1], F.lit("."), two))
-        .when(raw.rlike(r"^(?:192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\."), F.concat(F.regexp_extract(raw, r"^([0-9]+\.[0-9]+\.)", 1), two))
-        .otherwise(F.concat((_number(h, 37, 6) % 100 + 11).cast("string"), F.lit("."), octets[1], F.lit("."), two))
-    )
-    hexes = F.aggregate(
-        F.split(raw, ""), F.struct(F.lit("").alias("o"), F.lit(0).alias("k")),
-        lambda a, ch: F.struct(F.concat(a["o"], F.when(ch.rlike("[0-9a-f]"), h.substr(a["k"] % 64 + 1, F.lit(1))).when(ch.rlike("[A-F]"), F.upper(h.substr(a["k"] % 64 + 1, F.lit(1)))).otherwise(ch)).alias("o"), (a["k"] + 1).alias("k")), lambda a: a["o"],
-    )
-    local = F.substring_index(raw, "@", 1)
-    email = F.concat(_reshape(local, digits, letters), F.lit("@"), letters.substr(F.lit(46), F.lit(10)), F.lit(".example"))
-    return (
-        F.when(kind == "email", email).when(kind == "phone", _reshape(raw, phone, letters)).when(kind == "card", _reshape(raw, card, letters)).when(kind == "ipv4", ipv4)
-        .when(kind == "ssn", _reshape(raw, F.concat(F.lit("9"), digits), letters)).when(kind == "token", h.substr(F.lit(1), F.length(raw)))
-        .when(kind == "ipv6", hexes).when(kind == "access_key", F.concat(raw.substr(F.lit(1), F.lit(4)), _reshape(raw.substr(F.lit(5), F.lit(16)), digits, letters)))
-        .when(kind == "iban", F.concat(raw.substr(F.lit(1), F.lit(2)), _reshape(raw.substr(F.lit(3), F.length(raw)), digits, letters))).otherwise(_name(kind, raw, h))
-    )
+def _check(iban: Column) -> Column:
+    """The valid check number, 2 to 98, of an IBAN, whatever stands in its place."""
+    ring = F.split(F.concat(_tail(iban, 5), iban.substr(1, 2), F.lit("00")), "")
+    value = lambda ch: F.when(ch.rlike("[A-Z]"), F.ascii(ch) - 55).otherwise(F.coalesce(F.try_to_number(ch, F.lit("9")).cast("int"), F.lit(0)))
+    rest = F.aggregate(ring, F.lit(0), lambda a, ch: F.when(ch == "", a).otherwise((a * F.when(ch.rlike("[A-Z]"), 100).otherwise(10) + value(ch)) % 97))
+    return 98 - rest
+
+
+def _poured(raw: Column, digits: Column) -> Column:
+    """raw with its digits replaced in turn."""
+    start = F.struct(F.lit("").alias("o"), F.lit(1).alias("k"))
+    step = lambda a, ch: F.when(ch.rlike("^[0-9]$"), F.struct(F.concat(a["o"], digits.substr(a["k"], F.lit(1))).alias("o"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["o"], ch).alias("o"), a["k"].alias("k")))
+    return F.aggregate(F.split(raw, ""), start, step, lambda a: a["o"])
 
 
-def _pieces(text: Column) -> tuple[Column, Column]:
-    """The text between entities, and the entities (kind, raw), one less."""
-    parts, raw = F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(f"({PATTERN})".replace(r"\1", r"\2")), F.lit(1))
-    return parts, raw
+def _cased(raw: Column, s: Column) -> Column:
+    """s with capitals where raw has them."""
+    chars = F.split(raw, "")
+    return F.array_join(F.transform(F.split(s, ""), lambda ch, i: F.when(F.coalesce(F.get(chars, i).rlike(r"^\p{Lu}$"), F.lit(False)), F.upper(ch)).otherwise(ch)), "")
+
+
+def written(kind: Column, raw: Column, n: Column, p: Column) -> Column:
+    """The surrogate in the writing of raw, from the permuted varying part of its normal form n."""
+    plain = F.translate(p, _OTHER_AREA + _AREA + _FIXED_DIGITS, DIGITS + DIGITS)
+    phone = _poured(raw, F.when(raw.startswith("+1"), F.concat(F.lit("1"), plain)).otherwise(plain))
+    last = n.substr(F.length(n), F.lit(1)).cast("int")
+    card = _poured(raw, F.concat(plain, ((last + _luhn(F.concat(n.substr(F.lit(1), F.length(n) - 1), F.lit("0"))) - _luhn(F.concat(plain, F.lit("0"))) + 10) % 10).cast("string")))
+    given = n.substr(3, 2).cast("int")
+    new = F.concat(n.substr(1, 4), p)
+    number = F.when(given.between(2, 98), F.pmod(given - _check(n) + _check(new) - 2, F.lit(97)) + 2).otherwise(given)
+    iban = F.concat(n.substr(1, 2), F.lpad(number.cast("string"), 2, "0"), p)
+    gaps = F.aggregate(F.split(raw, ""), F.struct(F.lit("").alias("o"), F.lit(1).alias("k")), lambda a, ch: F.when(ch.isin(" ", ""), F.struct(F.concat(a["o"], ch).alias("o"), a["k"].alias("k"))).otherwise(F.struct(F.concat(a["o"], iban.substr(a["k"], F.lit(1))).alias("o"), (a["k"] + 1).alias("k"))), lambda a: a["o"])
+    octet = lambda ch: F.greatest(F.instr(F.lit(_OCTETS), ch), F.instr(F.lit(_FIXED_OCTETS), ch)) - 1
+    first = F.when(F.instr(F.lit(_FIRST), p.substr(1, 1)) > 0, F.element_at(F.array(*map(F.lit, _PLAIN)), F.greatest(F.instr(F.lit(_FIRST), p.substr(1, 1)), F.lit(1)))).otherwise(octet(p.substr(1, 1)))
+    ipv4 = F.concat_ws(".", first.cast("string"), *(octet(p.substr(i, 1)).cast("string") for i in (2, 3, 4)))
+    v6 = F.concat(n.substr(1, 4), _tail(p, 5))
+    groups = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: v6.substr((4 * i + 1).cast("int"), F.lit(4))), ":")
+    return (
+        F.when(kind == "email", F.concat(_cased(raw, p), F.lit(".example"))).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", _poured(raw, p)).when(kind == "iban", gaps)
+        .when(kind == "ipv4", ipv4).when(kind == "ipv6", F.when(raw.rlike("[A-F]"), F.upper(groups)).otherwise(groups)).when(kind == "accesskey", F.concat(n.substr(1, 4), p)).when(kind == "name", _cased(raw, F.lower(p))).otherwise(p)
+    )
 
 
-def _tokens(kind: Column, raw: Column) -> Column:
-    """A person's given and family name are entities of their own, so that the family name alone is known again."""
-    names = F.split(raw, " ")
-    family = F.struct(F.lit("name_x").alias("kind"), F.element_at(names, -1).alias("raw"))
-    given = F.struct(kind.alias("kind"), F.element_at(names, 1).alias("raw"))
-    one = F.array(F.struct(kind.alias("kind"), raw.alias("raw")))
-    return F.when(~kind.startswith("name"), one).when(F.size(names) > 1, F.array(given, family)).otherwise(F.array(family))
+def surrogate(key: bytes, kind: Column, raw: Column) -> Column:
+    """The replacement of one entity."""
+    tables = F.element_at(F.create_map(*(x for k, v in ALPHABETS.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), kind)
+    return let(normal(kind, raw), lambda n: let(tables, lambda a: let(permuted(key, kind, varying(kind, n), a), lambda p: written(kind, raw, n, p))))
 
 
-def _kinds(parts: Column, raws: Column) -> Column:
-    return F.transform(raws, lambda r, i: F.struct(kind_of(r, F.right(F.element_at(parts, i + 1), F.lit(13))).alias("kind"), r.alias("raw")))
+def _marked(text: Column, pattern: Column | str, kinds: list[str]) -> Column:
+    """The text with each entity between separators, in its kind's place."""
+    return F.regexp_replace(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(_SEP + _GROUP.join(f"${{{k}}}" for k in kinds) + _SEP))
 
 
-def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`h` (the text's MD5), `kind` and `normal` of every entity of every text, each once."""
-    s = F.col(text)
-    found = docs.where(s.rlike(HINT)).select(s.alias("s"), *(x.alias(n) for x, n in zip(_pieces(s), ("parts", "raws"), strict=True))).where(F.size("raws") > 0)
-    all_ = F.flatten(F.transform(_kinds(F.col("parts"), F.col("raws")), lambda e: _tokens(e["kind"], e["raw"])))
-    one = F.transform(all_, lambda e: F.struct(e["kind"].alias("kind"), normal(e["kind"], e["raw"]).alias("normal")))
-    return found.select(F.md5(F.col("s").cast("binary")).alias("h"), F.explode(F.array_distinct(one)).alias("e")).select("h", "e.*")
+def _entities(pieces: Column, kinds: list[str]) -> Column:
+    """kind and raw of every second piece."""
+    odd = F.filter(pieces, lambda x, i: i % 2 == 1)
+    told = lambda g: F.filter(F.transform(g, lambda raw, i: F.struct(F.element_at(F.array(*map(F.lit, kinds)), i + 1).alias("kind"), raw.alias("raw"))), lambda x: x["raw"] != "")
+    return F.transform(odd, lambda x: F.get(told(F.split(x, _GROUP)), F.lit(0)))
 
 
-def draws(found: DataFrame, key: bytes, space: int | None = None) -> DataFrame | None:
-    """kind, normal and draw (from 1) of the entities that may not keep draw 0; None if all may.
+def found(docs: DataFrame, text: str, parts: str, ents: str) -> DataFrame:
+    """docs with the text between entities, and the entities, one less, instead of the text; both null where it has none.
 
-    Of those with one surrogate the first by normal form keeps it, unless it is a real entity.  `space` narrows the
-    surrogates for tests, to that many a kind.
+    A name after a title is known again without one further on in the same text, whole or its given or family name alone.
+    Names of two words are two entities.
     """
-    c.shared_dir(found.sparkSession)
-    shown = lambda d: surrogate(key, F.col("kind"), F.col("normal"), d) if space is None else F.concat(F.col("kind"), F.lit(":"), F.pmod(F.xxhash64("normal", d), F.lit(space)))
+    s, kinds = F.col(text), list(KINDS)
+    # Control characters that mark entities here are not expected in texts; those that have them go without.
+    clean = F.translate(s, _SEP + _GROUP, "")
+    df = docs.withColumn(parts, F.when(hinted(s), F.split(_marked(clean, PATTERN, kinds), _SEP)))
+    people = F.array_distinct(F.flatten(F.transform(F.filter(_entities(F.col(parts), kinds), lambda e: e["kind"] == "name"), lambda e: F.split(e["raw"], " "))))
+    df = df.withColumn(ents, F.when(F.size(parts) > 1, people))
+    again = F.concat(F.lit(PATTERN + r"|(?<known>(?<!\p{L})(?:"), F.array_join(F.col(ents), "|"), F.lit(r")(?!\p{L}))"))
+    df = df.withColumn(parts, F.when(F.size(ents) > 0, F.split(_marked(clean, again, [*kinds, "known"]), _SEP)).otherwise(F.col(parts)))
+    kinds = [*kinds, "known"]
+    df = df.withColumn(ents, F.when(F.size(parts) > 1, F.transform(_entities(F.col(parts), kinds), lambda e: F.struct(F.when(e["kind"] == "known", "name").otherwise(e["kind"]).alias("kind"), e["raw"].alias("raw")))))
+    df = df.withColumn(parts, F.when(F.size(parts) > 1, F.filter(F.col(parts), lambda x, i: i % 2 == 0)))
+    return df.withColumn(text, F.when(F.col(parts).isNull(), s))
+
+
+def _tokens(e: Column) -> Column:
+    """A person's given and family name are entities of their own, so that either alone is known again."""
+    return F.transform(F.when(e["kind"] == "name", F.split(e["raw"], " ")).otherwise(F.array(e["raw"])), lambda x: F.struct(e["kind"].alias("kind"), x.alias("raw")))
+
+
+def collisions(rows: DataFrame, ents: str, key: bytes) -> DataFrame:
+    """kind and surrogate that two entities or more of the stored rows would share; empty unless the permutation is at fault."""
+    each = rows.where(F.size(ents) > 0).select(F.explode(F.flatten(F.transform(ents, _tokens))).alias("e"))
+    each = each.groupBy(F.col("e.kind").alias("kind"), normal(F.col("e.kind"), F.col("e.raw")).alias("entity")).agg(F.min("e.raw").alias("raw"))
     # few bytes but much to compute: dealt out, since AQE would put them into one task
-    real = found.select("kind", "normal").distinct().repartition(c.partitions(found.sparkSession), "kind", "normal").checkpoint()
-    pending, taken, drawn, n = real, None, None, 0
-    while True:
-        tried = pending.withColumn("s", normal(F.col("kind"), shown(F.lit(n))) if space is None else shown(F.lit(n)))
-        first = tried.groupBy("kind", "s").agg(F.min("normal").alias("normal"), F.count("*").alias("n"))
-        first = first.join(real.select("kind", F.col("normal").alias("s")), ["kind", "s"], "left_anti")
-        if taken is not None:
-            first = first.join(taken, ["kind", "s"], "left_anti")
-        kept = first.select("kind", "normal", "s").checkpoint()
-        pending = pending.join(kept, ["kind", "normal"], "left_anti").checkpoint()
-        if n:
-            drawn = kept.select("kind", "normal", F.lit(n).alias("draw")) if drawn is None else drawn.unionByName(kept.select("kind", "normal", F.lit(n).alias("draw")))
-        if pending.isEmpty():
-            return drawn
-        taken = kept.select("kind", "s") if taken is None else taken.unionByName(kept.select("kind", "s"))
-        n += 1
-
-
-def replaced(docs: DataFrame, key: bytes, text: str = "text", space: int | None = None) -> DataFrame:
+    each = each.repartition(c.partitions(rows.sparkSession), "kind", "entity").withColumn("s", normal(F.col("kind"), surrogate(key, F.col("kind"), F.col("raw"))))
+    return each.groupBy("kind", "s").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def replaced(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """docs with the entities of `text` replaced, and `n_entities`, `kinds` (sorted, each once).
 
-    Texts without entities are as they were; null stays null.  Rows keep their number and columns; repeated rows get equal
-    texts; clashing names of new columns get an underscore.
+    Texts without entities are as they were; null stays null, empty stays empty.  Of a text with entities, U+0001 and U+0002 are taken
+    out.  Rows keep their number and columns; repeated rows get equal texts; clashing names of new columns get an
+    underscore.  Raises if the collision check finds two entities with one surrogate.
     """
-    found = entities(docs, text)
-    drawn = draws(found, key, space)
-    n, kinds, parts, raws, again, h = c.fresh(docs, "n_entities", "kinds", "_parts", "_raws", "_again", "_h")
-    s = F.col(text)
-    if drawn is None:
-        df, of = docs, lambda kind, normal_: F.lit(0)
-    else:
-        by = F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "normal"), "draw")))
-        told = found.join(drawn, ["kind", "normal"]).groupBy(F.col("h").alias(h)).agg(by.alias(again))
-        df = docs.withColumn(h, F.md5(s.cast("binary"))).join(told, h, "left")
-        of = lambda kind, normal_: F.coalesce(F.try_element_at(F.col(again), F.concat_ws("\x1f", kind, normal_)), F.lit(0))
-    hint = s.rlike(HINT)
-    between, matched = _pieces(s)
-    df = df.withColumn(raws, F.when(hint, matched)).withColumn(parts, F.when(F.size(raws) > 0, between))
-    typed = _kinds(F.col(parts), F.col(raws))
-    one = lambda e: F.array_join(F.transform(_tokens(e["kind"], e["raw"]), lambda x: surrogate(key, x["kind"], x["raw"], of(x["kind"], normal(x["kind"], x["raw"])))), " ")
-    new = F.transform(typed, one)
-    text_out = F.concat(F.array_join(F.zip_with(F.slice(F.col(parts), F.lit(1), F.size(raws)), new, lambda a, b: F.concat(a, b)), ""), F.element_at(F.col(parts), -1))
-    some = F.size(raws) > 0
-    out = df.withColumn(kinds, F.when(some, F.array_sort(F.array_distinct(F.transform(typed, lambda e: e["kind"])))).otherwise(F.array().cast("array<string>")))
-    out = out.withColumn(text, F.when(some, text_out).otherwise(s)).withColumn(n, F.when(some, F.size(raws)).otherwise(0).cast("long"))
-    return out.select(*docs.columns, n, kinds)
-
-
-KEY = b"lumenframe surrogate key 1"  # production takes its own from a secret store
+    n, kinds, parts, ents = c.fresh(docs, "n_entities", "kinds", "_parts", "_ents")
+    rows = c.stored(found(docs, text, parts, ents), "pii")
+    shared = collisions(rows, ents, key).limit(3).collect()
+    if shared:
+        raise ValueError(f"entities share surrogates: {shared}")
+    new = F.transform(F.col(ents), lambda e: F.array_join(F.transform(_tokens(e), lambda x: surrogate(key, x["kind"], x["raw"])), " "))
+    spliced = F.concat(F.array_join(F.zip_with(F.slice(F.col(parts), F.lit(1), F.size(ents)), new, lambda a, b: F.concat(a, b)), ""), F.element_at(F.col(parts), -1))
+    some = F.coalesce(F.size(ents) > 0, F.lit(False))
+    out = rows.withColumn(text, F.when(some, spliced).otherwise(F.col(text)))
+    out = out.withColumn(kinds, F.when(some, F.array_sort(F.array_distinct(F.transform(ents, lambda e: e["kind"])))).otherwise(F.array().cast("array<string>")))
+    return out.withColumn(n, F.when(some, F.size(ents)).otherwise(0).cast("long")).select(*docs.columns, n, kinds)
+
+
+def key_of(spark) -> bytes:
+    """The session's `spark.lumenframe.pii.key`, or LUMENFRAME_PII_KEY of the environment; production sets one, tests go without."""
+    return (spark.conf.get("spark.lumenframe.pii.key", None) or os.environ.get("LUMENFRAME_PII_KEY") or "no key is set: for tests").encode()
 
 
 def op8_pii_surrogates(spark, sf_dir: str) -> DataFrame:
+    """doc_id, text with surrogates, n_entities and kinds of every document."""
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return replaced(docs, KEY)
+    return replaced(docs, key_of(spark))

@@ -29,7 +29,7 @@ from . import common as c
 ORDER, SECTION = 4, 1 << 20  # characters of an n-gram; characters that are worked on at once
 CODE_BITS = 16
 ALPHABET = 1 << CODE_BITS  # code points that one section's packed n-grams tell apart; a section with more is cut
-BLOCK, KEPT_BLOCKS = 1 << 19, 8
+BLOCK, KEPT_BLOCKS = 1 << 15, 128
 _PAD = ORDER - 1
 _BASE = c.U(0x9FB21C651E98DF25)
 

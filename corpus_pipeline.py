@@ -27,7 +27,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, personal data replaced; n_chars follows the new text."""
-    out = pii.replaced(docs, pii.KEY).select(*docs.columns)
+    out = pii.replaced(docs, pii.key_of(spark)).select(*docs.columns)
     return out.withColumn("n_chars", pii.F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -270,6 +270,28 @@ def test_mixture_meets_its_targets(spark):
         assert target <= 3 * s + 1e-6 and abs(sum(taken) - target) < 0.05 * target
 
 
+def test_repeated_rows_and_preferences_meet_targets_too(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source", "text")
+    for df, preference in ((docs.crossJoin(spark.range(10)).drop("id"), None), (docs, F.col("doc_id") % 3)):
+        rows = mixing.mixed(df, preference=preference).collect()
+        by = {}
+        for r in rows:
+            assert 0 <= r.taken <= 3 * r.size
+            by.setdefault((r.source_size, r.target), []).append(r)
+        for (_, target), own in by.items():
+            assert abs(sum(r.taken for r in own) - target) <= max(0.05 * target, 10 * max(r.size for r in own))
+
+
+def test_heavier_documents_are_drawn_more_often(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * (4 if i % 4 < 2 else 64)) for i in range(4000)], "doc_id long, source string, text string")
+    rows = [r for r in mixing.mixed(docs).collect() if r.source == "a"]
+    share = lambda n: sum(r.copies for r in rows if r.size == n) / sum(r.size == n for r in rows)
+    p = sum(r.target for r in rows[:1]) / (1000 * (4 * 2 + 64 * 8)) * 2  # level times weight of the light ones: weights are 2 and 8
+    assert share(4) == pytest.approx(p, abs=0.02) and share(64) == pytest.approx(4 * p, abs=0.02)
+
+
 def test_targets_share_what_caps_cut_off(spark):
     sizes = {"a": 100, "b": 1, "c": 1000, "d": 5, None: 0}
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}

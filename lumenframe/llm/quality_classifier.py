@@ -3,8 +3,9 @@
 A text is turned into FEATURES dense features: shares of kinds of characters, statistics of words and lines, and
 hashed character trigrams.  A logistic model minimises the non-negative unbiased risk
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
-over trusted positives (rows labelled 1) and unlabelled texts (any, whatever their label).  The class prior is
-estimated: from labelled rows where both labels occur, else as the mean score of positives against unlabelled texts asks.
+over trusted positives (rows labelled 1) and unlabelled texts (any, whatever their label).  The class prior is estimated from
+these two alone: the least share that a threshold on a first model's score leaves possible, in unlabelled texts over positives, on
+halves that this model was not fitted on.
 Training takes at most MOST positives and MOST unlabelled texts, those with the smallest hashes: a
 documented bound on the sample, not on what is scored.  Labels, language, source and ids are no features.
 """
@@ -22,9 +23,9 @@ from pyspark.sql import types as T
 from . import common as c
 
 MOST, TRIGRAMS = 8000, 256
+LEAST = 0.3
 BASIC = 16
 FEATURES = BASIC + TRIGRAMS
-_STEP = 400
 _KINDS = np.zeros(256, np.uint8)
 _KINDS[[9, 10, 11, 12, 13, 32]] = 1
 _KINDS[48:58] = 2
@@ -106,20 +107,24 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(mean, scale, w, b)
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, ones: int, zeros: int) -> float:
-    """Share of positives among unlabelled texts, kept within 0.05 and 0.95."""
-    if ones and zeros:
-        return float(np.clip(ones / (ones + zeros), 0.05, 0.95))
-    # c = P(labelled | positive) by a classifier of labelled against unlabelled (Elkan and Noto)
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among unlabelled texts, kept within 0.05 and 0.95.
+
+    For a set of scores, the unlabelled texts' share in it is at least the prior times the positives' share; so the
+    least quotient of the two, over the sets above a threshold, bounds the prior from above and meets it where the set has
+    positives only.  Each threshold keeps LEAST of the positives at least, so that the quotient is not chance.
+    """
     half = fit(positive[::2], unlabelled[::2], 0.5)
-    other, free = half.score(positive[1::2] if len(positive) > 1 else positive), half.score(unlabelled[1::2] if len(unlabelled) > 1 else unlabelled)
-    return float(np.clip(free.mean() / max(other.mean(), 1e-6), 0.05, 0.95))
+    p, u = half.score(positive[1::2] if len(positive) > 1 else positive), half.score(unlabelled[1::2] if len(unlabelled) > 1 else unlabelled)
+    cuts = np.quantile(p, np.linspace(0, 1 - LEAST, 50))
+    shares = [((u >= x).mean(), (p >= x).mean()) for x in cuts]
+    return float(np.clip(min(a / b for a, b in shares), 0.05, 0.95))
 
 
+@c.released
 def _featured(batches):
     for b in batches:
-        for i in range(0, b.num_rows, _STEP):
-            part = b.slice(i, _STEP)
+        for part in c.pieces(b, "text"):
             x = features(part.column("text"))
             yield pa.record_batch([part.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "x"])
 
@@ -132,28 +137,27 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """
     c.prepare(docs.sparkSession)
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
-    ones, zeros = (known.agg(F.sum((F.col("y") == k).cast("long"))).first()[0] or 0 for k in (1, 0))
     order = F.xxhash64("id", F.lit(5))
     trusted = known.where("y = 1").orderBy(order, "id").limit(MOST)
     texts = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    # MOST ids: a bounded sample, first of ids and then of their texts
+    # MOST ids of each: a bounded sample, first of ids and then of their texts, which are fetched by a broadcast of the ids
     free = texts.select("id").orderBy(F.xxhash64("id", F.lit(6)), "id").limit(MOST).distinct().withColumn("y", F.lit(-1))
     wanted = trusted.select("id", "y").unionByName(free.select("id", "y"))
-    rows = texts.join(wanted, "id").select("y", "text").mapInArrow(_featured, "y int, x binary").toPandas()
+    rows = texts.join(F.broadcast(wanted), "id").select("y", "text").mapInArrow(_featured, "y int, x binary").toPandas()
     x = np.stack([np.frombuffer(v, np.float32) for v in rows["x"]]) if len(rows) else np.zeros((0, FEATURES), np.float32)
     order = np.lexsort([*x[:, :BASIC].T, rows["y"].to_numpy(np.int64)])  # rows come in any order
     x, y = x[order], rows["y"].to_numpy()[order]
     positive, unlabelled = x[y == 1], x[y == -1]
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0)
-    return fit(positive, unlabelled, class_prior(positive, unlabelled, ones, zeros))
+    return fit(positive, unlabelled, class_prior(positive, unlabelled))
 
 
+@c.released
 def _score(text: str, name: str, sent, schema: pa.Schema, batches):
     model = sent.value
     for b in batches:
-        for i in range(0, b.num_rows, _STEP):
-            part = b.slice(i, _STEP)
+        for part in c.pieces(b, text):
             s = pa.array(np.round(model.score(features(part.column(text))), 9))
             yield pa.record_batch([s if f.name == name else part.column(f.name) for f in schema], schema)
 
@@ -174,6 +178,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; the held-out fifth's labels are not learned from."""
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = c.table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "quality")
     out = scored(docs, train(docs, labels))

@@ -361,6 +361,46 @@ def test_quotes(spark):
     assert [(q.level, q.turn) for q in got[2].quoted] == [(2, 0), (1, 1), (1, None)]
 
 
+def test_quotes_link_parts_wrapped_anew_and_odd_columns(spark):
+    long = "The first sentence is here. The second one follows it! A third, at last?"
+    rows = [(1, 0, "user", "Opening words.", 0), (1, 1, "a", long, 1), (1, 2, "b", "Other.", 2), (1, 3, "c", "> The second one\n> follows it!\nWhy <|end|>?", 3), (1, 4, "d", "> opening words\nBack", 4)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, _c long").withColumnRenamed("_c", "_t")
+    got = {r.turn: r for r in quotes.linked(df.withColumn("_c", df._t).withColumn("_conv", df._t)).collect()}
+    assert [got[t].reply_to for t in range(5)] == [None, 0, 1, 1, 0] and got[3].chat == "<|c|>\nWhy <\\|end|>?<|end|>\n"
+
+
+def test_conversations_by_brute_force(spark, monkeypatch):
+    import random
+
+    rng, rows = random.Random(2), []
+    for conv in range(30):
+        said = []
+        for turn in sorted(rng.sample(range(0, 40, 2), rng.randint(1, 9))):
+            own = f"Words {conv} {turn} are said. And {turn} more."
+            at = rng.choice(said) if said and rng.random() < 0.6 else None
+            rows.append((conv, turn, "u", ("" if at is None else f"> And {at} more.\n") + own))
+            said.append(turn)
+    rows += [(None, 1, "u", "x"), (7, None, "u", "y"), (None, None, None, None), (None, None, None, None)]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    up = {}
+    for conv, turn, _, text in rows:
+        if conv is not None and turn is not None:
+            before = [t for c_, t, _, _ in rows if c_ == conv and t is not None and t < turn]
+            m = re.match(r"> And (\d+) more", text)
+            up[conv, turn] = int(m[1]) if m else max(before, default=None)
+
+    def root(conv, turn):
+        return turn if up[conv, turn] is None else root(conv, up[conv, turn])
+
+    want = {}
+    for conv, turn in sorted(up):
+        want.setdefault((conv, root(conv, turn)), []).append((turn, up[conv, turn]))
+    got = quotes.conversations(messages).collect()
+    assert {(r.conv_id, r.thread): list(zip(r.turns, r.reply_to, strict=True)) for r in got if r.thread is not None} == want
+    assert sorted((r.n_messages, r.chat) for r in got if r.thread is None) == [(1, "<|u|>\nx<|end|>\n"), (1, "<|u|>\ny<|end|>\n"), (2, 2 * "<|user|>\n<|end|>\n")]
+    assert not any(">" in line[:1] for r in got for line in r.chat.split("\n"))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

@@ -45,12 +45,16 @@ STAGES = [
     ("source_mixture", mixture),
 ]
 
-#: Neither the model's verdict nor keyed surrogates can be stated in SQL; tests/llm holds the stages against brute force.
+#: Neither the model's verdict nor keyed surrogates can be stated in SQL; tests/llm holds the operators against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The rows of the last stage over all documents; each stage's rows are stored, and deleted when the next one's are."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            common.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -23,4 +23,5 @@ ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
     "op6_warc": warc.OP6_SQL,
+    "op7_ngram_jaccard": jaccard_join.OP7_SQL,
 }

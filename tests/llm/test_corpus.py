@@ -116,6 +116,17 @@ def test_jaccard_classes_by_brute_force(spark, edge, block, many):
     assert got == {d: (len(s), find(d)) for d, s in sets.items()}
 
 
+def test_no_link_of_a_hundredth_of_the_documents_is_lost(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.1"
+    links = duckdb.sql(
+        jaccard_join.OP7_SQL.partition("r AS (SELECT x, y FROM l UNION")[0].replace("FROM documents", f"FROM '{sf}/documents.parquet'").replace("a.doc_id <> b.doc_id", "a.doc_id <> b.doc_id AND a.doc_id % 100 = 0").rstrip().rstrip(",") + " SELECT x, y FROM l"
+    ).fetchall()
+    got = {r.doc_id: r.component_id for r in jaccard_join.op7_ngram_jaccard(spark, sf).collect()}
+    assert len(links) > 10 and all(got[x] == got[y] for x, y in links)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(40)] + [("s", f"t{i}") for i in range(30)] + [("x", "x"), (None, "y")]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a string, b string")).collect()}

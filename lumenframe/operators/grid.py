@@ -62,15 +62,25 @@ def _size(axes: list[Axis]) -> int:
     return n
 
 
+def _ranked(bins: DataFrame, value: str) -> DataFrame:
+    """A line for each distinct value: `_at`, how many bins have a larger one, `_over`, their sum, `_bins` and `_all`.
+
+    Values are counted first, so that only distinct values meet in one task.
+    """
+    lines = bins.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    down = Window.orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy()
+    return lines.select("_v", F.coalesce(F.sum("_k").over(down), F.lit(0)).alias("_at"), F.coalesce(F.sum(F.col("_k") * F.col("_v")).over(down), F.lit(0)).alias("_over"), F.sum("_k").over(whole).alias("_bins"), F.sum(F.col("_k") * F.col("_v")).over(whole).alias("_all"))
+
+
 def bin_rank(bins: DataFrame, value: str, ties: list[str], out: str = "rank") -> DataFrame:
-    """1 for the largest bin; equal ones by `ties`.  Bins are few: one task ranks them."""
-    return bins.withColumn(out, F.row_number().over(Window.orderBy(F.col(value).desc(), *ties)))
+    """1 for the largest bin; equal ones by `ties`, among themselves only."""
+    rows = bins.join(_ranked(bins, value), F.col(value).eqNullSafe(F.col("_v")))
+    return rows.withColumn(out, (F.col("_at") + F.row_number().over(Window.partitionBy(value).orderBy(*ties))).cast("int")).drop("_v", "_at", "_over", "_bins", "_all")
 
 
 def top_share(bins: DataFrame, value: str, ties: list[str], share: float = 0.25, part: float = 0.05) -> DataFrame:
     """The brightest bins: those before `share` of the total is reached, and no more than `part` of the bins."""
-    w = Window.orderBy(F.col(value).desc(), *ties)
-    whole = Window.partitionBy()
-    b = bins.withColumn("_r", F.row_number().over(w)).withColumn("_upto", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    b = b.withColumn("_n", F.count("*").over(whole)).withColumn("_all", F.sum(value).over(whole))
-    return b.where((F.col("_upto") < share * F.col("_all")) & (F.col("_r") <= part * F.col("_n"))).drop("_r", "_upto", "_n", "_all")
+    rows = bins.join(_ranked(bins, value), F.col(value).eqNullSafe(F.col("_v"))).withColumn("_r", F.row_number().over(Window.partitionBy(value).orderBy(*ties)))
+    upto, rank = F.col("_over") + F.col("_r") * F.col(value), F.col("_at") + F.col("_r")
+    return rows.where((upto < share * F.col("_all")) & (rank <= part * F.col("_bins"))).drop("_v", "_at", "_over", "_bins", "_all", "_r")

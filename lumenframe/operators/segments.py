@@ -105,11 +105,15 @@ def step_report(series: DataFrame, keys: list[str], number: str, order: list[str
     )
 
 
-def missing_counters(seen: DataFrame, counter: str) -> DataFrame:
-    """Counters between the first and the last that no row has."""
-    each = seen.select(F.col(counter).cast("long").alias(counter)).distinct()
-    ends = each.agg(F.min(counter).alias("a"), F.max(counter).alias("b")).where("a is not null")
-    return ends.select(F.explode(F.sequence("a", "b")).alias(counter)).join(each, counter, "left_anti")
+def missing_counters(seen: DataFrame, counter: str, spans: int | None = None) -> DataFrame:
+    """Counters between the first and the last that no row has: each gap is filled where it is, part of the range by part."""
+    each = seen.select(F.col(counter).cast("long").alias(counter)).where(F.col(counter).isNotNull()).distinct()
+    spans = spans or int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = temporal.spanned(each, counter, spans)
+    ends = each.groupBy("_span").agg(F.max(counter).alias("_last"))
+    ends = ends.select(F.col("_span").alias("_s"), F.lag("_last").over(Window.orderBy("_span")).alias("_before"))  # a line a part
+    rows = each.join(ends, F.col("_span") == F.col("_s")).withColumn("_p", F.coalesce(F.lag(counter).over(Window.partitionBy("_span").orderBy(counter)), "_before"))
+    return rows.where(F.col(counter) - F.col("_p") > 1).select(F.explode(F.sequence(F.col("_p") + 1, F.col(counter) - 1)).alias(counter))
 
 
 def strongest_two(events: DataFrame, t: str, value: str, tie: str, apart: float) -> DataFrame:

@@ -20,16 +20,53 @@ def _merged(left: DataFrame, right: DataFrame, keys: list[str], t: str, values:
     return mine.unionByName(side).withColumn("_side", F.when(F.col("_left").isNull(), 0).otherwise(1))
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], t: str, values: list[str], kind: str = "previous") -> DataFrame:
+def spanned(rows: DataFrame, t: str, spans: int, out: str = "_span") -> DataFrame:
+    """rows with the equal part of the clock, from 0, that holds their time; a null time is in part 0."""
+    ends = rows.agg(F.min(t).alias("a"), F.max(t).alias("b")).first()
+    if ends["a"] is None or ends["a"] == ends["b"]:
+        return rows.withColumn(out, F.lit(0))
+    share = (F.col(t) - F.lit(ends["a"])) / (F.lit(ends["b"]) - F.lit(ends["a"]))
+    return rows.withColumn(out, F.coalesce(F.least(F.floor(share * spans), F.lit(spans - 1)), F.lit(0)).cast("int"))
+
+
+def _carried(rows: DataFrame, keys: list[str], t: str) -> DataFrame:
+    """rows with `_before` and `_after`: the last knot of the spans before a row's own, and the first of those after it.
+
+    A line for each key and span is all that goes to one task together.
+    """
+    knot = F.struct(F.col(t), "_knot")
+    ends = rows.groupBy(*keys, "_span").agg(F.max(F.when(F.col("_knot").isNotNull(), knot))["_knot"].alias("_l"))
+    same = rows.where(F.col("_knot").isNotNull()).groupBy(*keys, "_span", t).agg(F.max("_knot").alias("_k"))
+    firsts = same.groupBy(*keys, "_span").agg(F.min_by("_k", t).alias("_first"))
+    w = Window.partitionBy(*keys).orderBy("_span")
+    on = lambda other: [F.col(k).eqNullSafe(other[f"_x{i}"]) for i, k in enumerate([*keys, "_span"])]
+    renamed = lambda df: df.withColumnsRenamed({k: f"_x{i}" for i, k in enumerate([*keys, "_span"])})
+    f = renamed(firsts)
+    ends = ends.join(f, on(f), "left").drop(*(f"_x{i}" for i in range(len(keys) + 1)))
+    ends = ends.select(*keys, "_span", F.last("_l", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    e = renamed(ends)
+    return rows.join(e, on(e), "left").drop(*(f"_x{i}" for i in range(len(keys) + 1)))
+
+
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], t: str, values: list[str], kind: str = "previous", spans: int | None = None) -> DataFrame:
     """left with the `values` and time (`<t>_right`) of the right row of the same keys that is previous, next or nearest.
 
     A right row at the same time matches either way; a tie of nearest goes to the later.  Left rows without a match keep nulls.
-    Of right rows with equal times any one matches.  Names of values must not be those of left.
+    Of right rows with equal times that with the largest values counts.  Names of values must not be those of left.
+    spans: into how many parts of the clock each key's rows are cut, so that one long recording is not one task's work; a
+    part starts with the knots that the parts around it hand over.  By default one where there are keys, else as many as there
+    are shuffle partitions.
     """
     rows = _merged(left, right, keys, t, values)
-    w = Window.partitionBy(*keys)
-    back = F.last("_knot", ignorenulls=True).over(w.orderBy(F.col(t), F.col("_side")).rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.last("_knot", ignorenulls=True).over(w.orderBy(F.col(t).desc(), F.col("_side")).rowsBetween(Window.unboundedPreceding, 0))
+    spans = spans or (1 if keys else int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = list(keys)
+    if spans > 1:
+        rows, part = _carried(spanned(rows, t, spans), keys, t), [*keys, "_span"]
+    w = Window.partitionBy(*part)
+    back = F.last("_knot", ignorenulls=True).over(w.orderBy(F.col(t), F.col("_side"), F.col("_knot")).rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.last("_knot", ignorenulls=True).over(w.orderBy(F.col(t).desc(), F.col("_side"), F.col("_knot")).rowsBetween(Window.unboundedPreceding, 0))
+    if spans > 1:
+        back, ahead = F.coalesce(back, "_before"), F.coalesce(ahead, "_after")
     if kind == "previous":
         rows = rows.withColumn("_m", back)
     elif kind == "next":

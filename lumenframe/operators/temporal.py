@@ -51,8 +51,8 @@ def _carried(rows: DataFrame, keys: list[str], t: str) -> DataFrame:
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], t: str, values: list[str], kind: str = "previous", spans: int | None = None) -> DataFrame:
     """left with the `values` and time (`<t>_right`) of the right row of the same keys that is previous, next or nearest.
 
-    A right row at the same time matches either way; a tie of nearest goes to the later.  Left rows without a match keep nulls.
-    Of right rows with equal times that with the largest values counts.  Names of values must not be those of left.
+    A right row at the same time matches either way; a tie of nearest goes to the later.  Left rows without a match, or without a
+    time, keep nulls.  Of right rows with equal times that with the largest values counts.  Names of values must not be those of left.
     spans: into how many parts of the clock each key's rows are cut, so that one long recording is not one task's work; a
     part starts with the knots that the parts around it hand over.  By default one where there are keys, else as many as there
     are shuffle partitions.
@@ -75,6 +75,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], t: str, values
         rows = rows.withColumn("_p", back).withColumn("_n", ahead)
         later = F.abs(F.col("_n.t") - F.col(t)) <= F.abs(F.col(t) - F.col("_p.t"))
         rows = rows.withColumn("_m", F.when(F.col("_p").isNull() | later, F.col("_n")).otherwise(F.col("_p")))
+    rows = rows.withColumn("_m", F.when(F.col(t).isNotNull(), F.col("_m")))
     return rows.where("_side = 1").select("_left.*", F.col("_m.t").alias(f"{t}_right"), *(F.col(f"_m.{v}") for v in values))
 
 

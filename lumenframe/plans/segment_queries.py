@@ -124,12 +124,12 @@ def phase_moments(spark, sf_dir):
 
 # ---------------------------------------------------------------- sparse volumes
 
-_MASK = f"WITH {_P}, b AS (SELECT {_BINS} FROM p WHERE l_partkey % 3 = 0), v AS (SELECT ix, iy, count(*) AS n FROM b WHERE ix BETWEEN 0 AND 9 AND iy BETWEEN 0 AND 5 GROUP BY ix, iy), m AS (SELECT ix, iy FROM v WHERE n % 4 <> 0)"
+_MASK = f"WITH {_P}, b AS (SELECT {_BINS} FROM p), v AS (SELECT ix, iy, count(*) AS n FROM b WHERE ix BETWEEN 0 AND 9 AND iy BETWEEN 0 AND 5 GROUP BY ix, iy), m AS (SELECT ix, iy FROM v WHERE n % 4 <> 0)"
 _BOX = "(SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy)"
 
 
 def _counted(spark, sf_dir):
-    return grid.bin_points(_points(spark, sf_dir).where("l_partkey % 3 = 0"), AXES[:2], {"n": F.lit(1)})
+    return grid.bin_points(_points(spark, sf_dir), AXES[:2], {"n": F.lit(1)})
 
 
 def _mask(spark, sf_dir):

@@ -320,7 +320,42 @@ def pca2(spark, sf_dir):
     return estimators.pca2(_t(spark, sf_dir, "embeddings"), "embedding", 64).select("vec_id", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_E}, s AS (SELECT user_id, t / 1e9 AS s, value, row_number() OVER (PARTITION BY user_id ORDER BY t / 1e9, value) AS i FROM e WHERE value IS NOT NULL AND user_id IS NOT NULL),
+k AS (SELECT user_id, i, s, value, CAST(value AS DOUBLE) AS x, 0.0e0 AS v, 0.5e0 AS a, 0.0e0 AS b, 1.0e0 AS c FROM s WHERE i = 1
+UNION ALL SELECT user_id, i, s, value, CASE WHEN hit THEN xp + ap / z * err ELSE xp END, CASE WHEN hit THEN v + bp / z * err ELSE v END, CASE WHEN hit THEN ap - ap * ap / z ELSE ap END, CASE WHEN hit THEN bp - ap * bp / z ELSE bp END, CASE WHEN hit THEN cp - bp * bp / z ELSE cp END
+FROM (SELECT *, ap + 1 AS z, value - xp AS err, (value - xp) * (value - xp) <= 25 * (ap + 1) AS hit FROM (SELECT k.user_id, s.i, s.s, s.value, k.v, k.x + (s.s - k.s) * k.v AS xp, k.a + 2 * (s.s - k.s) * k.b + (s.s - k.s) ** 2 * k.c + (s.s - k.s) ** 3 / 3 AS ap,
+k.b + (s.s - k.s) * k.c + (s.s - k.s) ** 2 / 2 AS bp, k.c + (s.s - k.s) AS cp FROM k JOIN s ON s.user_id = k.user_id AND s.i = k.i + 1)))
+SELECT user_id, round(s, 6) AS s, value, round(x, 4) AS value_hat FROM k""")
 def kalman_track(spark, sf_dir):
     e = _events(spark, sf_dir).withColumn("s", F.col("t") / 1e9)
-    return estimators.kalman_track(e.select("user_id", "s", "value"), ["user_id"], "s", "value")
+    out = estimators.kalman_track(e.select("user_id", "s", "value"), ["user_id"], "s", "value")
+    return out.withColumn("s", F.round("s", 6)).withColumn("value_hat", F.round("value_hat", 4))
+
+
+@query()
+def two_rate_map(spark, sf_dir):
+    e = _events(spark, sf_dir).groupBy("user_id", F.floor(F.col("t") / 86400000000).alias("day")).agg(F.count_if(F.col("event_type") == "view").alias("red"), F.count_if(F.col("event_type") == "click").alias("green"))
+    out = estimators.two_rates_by_key(e.withColumn("dt", F.lit(1.0)), ["user_id"], "day", "dt", "red", "green")
+    return out.select("user_id", "day", *(F.round(x, 4).alias(x) for x in ("rate", "ratio", "rate_sd", "ratio_sd")))
+
+
+@query()
+def bleach_baseline(spark, sf_dir):
+    d = _daily(spark, sf_dir).withColumn("k", F.col("k").cast("double"))
+    out = estimators.bleach_corrected(d, ["event_type"], "k", "v")
+    return out.select("event_type", "k", F.round("baseline", 4).alias("baseline"), F.round("corrected", 4).alias("corrected"))
+
+
+@query()
+def viterbi_align(spark, sf_dir):
+    """Days against ten levels of the day's count, as a path that never falls."""
+    d = _daily(spark, sf_dir)
+    costs = d.select("event_type", "k", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("state"), "v").withColumn("cost", F.abs(F.col("v") - F.col("state")))
+    return estimators.align_monotone(costs, ["event_type"], "k", "state", "cost")
+
+
+@query()
+def plane_wave_fit(spark, sf_dir):
+    v = grid.bin_points(_points(spark, sf_dir), AXES[:2], {"n": F.lit(1), "re": F.cos(F.col("x") / 20 + F.col("y") / 15), "im": F.sin(F.col("x") / 20 + F.col("y") / 15)}, ["f"])
+    out = estimators.plane_waves(v, ["f"], "ix", "iy", "re", "im")
+    return out.select("f", *(F.round(x, 4).alias(x) for x in ("kx", "ky", "phase")))

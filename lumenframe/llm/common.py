@@ -39,13 +39,18 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package even where only the driver's path holds it."""
+    """Let Python workers import this package even where only the driver's path holds it, and get texts in small batches."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     env["ARROW_DEFAULT_MEMORY_POOL"] = "system"  # so that release() gives back what Arrow has freed
+    if spark.conf.get(BATCH) == "10000":  # Spark's default: as many long texts would be held on both sides of the pipe
+        spark.conf.set(BATCH, "1000")
 
 
 def release() -> None:
@@ -81,23 +86,39 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lumenframe-{name}-{uuid.uuid4().hex}"
+#: Scratch folders since a pipeline's first stage began, for its later stages to sweep.
+SCRATCH: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str, swept: bool = True) -> str:
+    path = f"{shared_dir(spark)}/lumenframe-{name}-{uuid.uuid4().hex}"
+    if swept:
+        SCRATCH.append(path)
+    return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, name)
+def stored(df: DataFrame, name: str, swept: bool = True) -> DataFrame:
+    """df written to the shared folder and read again: a lost executor costs no recomputation.  A folder that is not swept is the caller's to discard."""
+    path = scratch(df.sparkSession, name, swept)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the scratch folders of operators whose results have been written: what a pipeline's next stage may do, as it is given them reread."""
+    while SCRATCH:
+        _delete(spark, SCRATCH.pop())
+
+
 def discard(df: DataFrame) -> None:
     """Delete the folder of a stored table that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     for folder in {os.path.dirname(x) for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 def file_system(uri: str):

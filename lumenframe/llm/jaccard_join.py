@@ -33,7 +33,7 @@ from .signature_tree import bitmap, links, possible_links
 BLOCK, MANY = 2048, 16384
 FREQUENT = 1 << 17  # tokens ranked by their count; 2 MB
 _FEW = 8
-_WORDS_AT_ONCE = 2_000_000
+_WORDS_AT_ONCE = 500_000
 _SENT = "bucket int, chunk int, tokens binary, members binary, counts binary"
 _FOUND = "chunk int, tokens binary, groups binary, counts binary"
 
@@ -61,6 +61,7 @@ def shingles(column, n: int) -> tuple[np.ndarray, np.ndarray]:
     return w, np.searchsorted(row, np.arange(len(size) + 1))
 
 
+@c.released
 def _count(text: str, n: int, batches):
     """Shingles that two texts of a batch share or more, and how many."""
     c.KEPT.clear()
@@ -199,6 +200,7 @@ def _members(text, n, num, den, order, many, t: pa.Table, told: pa.Table) -> pa.
 _LIGHT = "kind string, grp long, node string, other string, n long, least long, bits binary"
 
 
+@c.released
 def _possible(num: int, den: int, batches):
     """Edges between members of a group that may be linked, from rows sorted by group; other rows pass."""
     key, held, out = None, [], []
@@ -247,6 +249,7 @@ def _sets(text, n, most, t: pa.Table, told: pa.Table) -> pa.Table:
 _ROWS = "kind string, grp string, blocks int, block int, leader boolean, node string, other string, n long, tokens binary"
 
 
+@c.released
 def _join(num: int, den: int, straggling: bool, batches):
     """Links of each block, from rows sorted by group and block; rows of large groups pass once."""
     key, held, out = None, [], []
@@ -334,7 +337,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
 
 def partial_arrow(f, *first):
     def call(left: pa.Table, right: pa.Table) -> pa.Table:
-        return f(*first, left, right)
+        try:
+            return f(*first, left, right)
+        finally:
+            c.release()
 
     return call
 

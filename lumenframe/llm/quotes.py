@@ -140,15 +140,31 @@ def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text:
 
 
 def threads(replies: DataFrame) -> DataFrame:
-    """Of (conv, turn, reply_to): `thread`, the turn that starts it, and `depth`, the replies between; by jumps that double."""
-    now = c.stored(replies.groupBy("conv", "turn").agg(F.min("reply_to").alias("up")).withColumn("hops", F.col("up").isNotNull().cast("long")).withColumn("moved", F.col("up").isNotNull()), "threads")
-    while not now.where("moved").isEmpty():
-        up = now.select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("up").alias("next"), F.col("hops").alias("more"))
-        to = now.join(up, (F.col("conv") == F.col("c")) & (F.col("up") == F.col("t")), "left")
-        to = to.select("conv", "turn", F.coalesce("next", "up").alias("up"), F.when(F.col("next").isNotNull(), F.col("hops") + F.col("more")).otherwise(F.col("hops")).alias("hops"), F.col("next").isNotNull().alias("moved"))
-        before_, now = now, c.stored(to, "threads")
+    """Of (conv, turn, reply_to): `thread`, the turn that starts it, and `depth`, the replies between.
+
+    Messages that reply to the one before them make a run, found by one window over TURNS turns at the most.  The runs' first
+    messages alone are then followed to the start, by jumps that double; those that have arrived are left out of the next round.
+    """
+    w = Window.partitionBy("conv", F.floor(F.col("turn") / TURNS)).orderBy("turn")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = replies.groupBy("conv", "turn").agg(F.min("reply_to").alias("up"))
+    rows = rows.withColumn("k", F.row_number().over(w)).withColumn("p", F.lag("turn").over(w))
+    first = F.when(F.col("up").isNull() | F.col("p").isNull() | (F.col("up") != F.col("p")), F.struct("turn", "k"))
+    rows = rows.withColumn("s", F.last(first, ignorenulls=True).over(upto)).select("conv", "turn", "up", F.col("s.turn").alias("start"), (F.col("k") - F.col("s.k")).cast("long").alias("place"))
+    rows = c.stored(rows, "runs")
+    heads = rows.where(F.col("turn") == F.col("start")).select("conv", "start", "up")
+    at = rows.select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("start").alias("to"), (F.col("place") + 1).alias("hops"))
+    now = heads.join(at, (F.col("conv") == F.col("c")) & (F.col("up") == F.col("t")), "left").select("conv", "start", "to", F.coalesce("hops", F.lit(0).cast("long")).alias("hops"), F.col("to").isNull().alias("there"))
+    now = c.stored(now, "threads")
+    while not now.where("NOT there").isEmpty():
+        up = now.select(F.col("conv").alias("c"), F.col("start").alias("t"), F.col("to").alias("next"), F.col("hops").alias("more"))
+        going = now.where("NOT there").join(up, (F.col("conv") == F.col("c")) & (F.col("to") == F.col("t")), "left")
+        going = going.select("conv", "start", F.coalesce("next", "to").alias("to"), (F.col("hops") + F.when(F.col("next").isNotNull(), F.col("more")).otherwise(0)).alias("hops"), F.col("next").isNull().alias("there"))
+        before_, now = now, c.stored(going.unionByName(now.where("there")), "threads")
         c.discard(before_)
-    return now.select("conv", "turn", F.coalesce("up", "turn").alias("thread"), F.col("hops").alias("depth"))
+    heads = now.select(F.col("conv").alias("c"), F.col("start").alias("t"), F.coalesce("to", "start").alias("thread"), "hops")
+    out = rows.join(heads, (F.col("conv") == F.col("c")) & (F.col("start") == F.col("t")))
+    return out.select("conv", "turn", "thread", (F.col("place") + F.col("hops")).alias("depth"))
 
 
 def conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", role: str = "role") -> DataFrame:

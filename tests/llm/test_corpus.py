@@ -406,6 +406,19 @@ def test_conversations_by_brute_force(spark, monkeypatch):
     want = {}
     for conv, turn in sorted(up):
         want.setdefault((conv, root(conv, turn)), []).append((turn, up[conv, turn]))
+    monkeypatch.setattr(quotes, "TURNS", 16)
+    got = quotes.conversations(messages).collect()
+    parts, got = got, [r for r in got if r.thread is None]
+    whole = {}
+    for r in sorted((r for r in parts if r.thread is not None), key=lambda r: (r.conv_id, r.thread, r.part)):
+        whole.setdefault((r.conv_id, r.thread), []).extend(zip(r.turns, r.reply_to, strict=True))
+    assert whole == want
+
+    def steps(conv, turn):
+        return 0 if up[conv, turn] is None else 1 + steps(conv, up[conv, turn])
+
+    assert all(list(r.depth) == [steps(r.conv_id, t) for t in r.turns] for r in parts if r.thread is not None)
+    monkeypatch.undo()
     got = quotes.conversations(messages).collect()
     assert {(r.conv_id, r.thread): list(zip(r.turns, r.reply_to, strict=True)) for r in got if r.thread is not None} == want
     assert sorted((r.n_messages, r.chat) for r in got if r.thread is None) == [(1, "<|u|>\nx<|end|>\n"), (1, "<|u|>\ny<|end|>\n"), (2, 2 * "<|user|>\n<|end|>\n")]

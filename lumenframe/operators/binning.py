@@ -68,8 +68,8 @@ def best_frames(metrics: DataFrame, metric: str, p: float, chunk: str | None = N
     """Frames whose metric reaches its nearest-rank percentile, over all or in each chunk."""
     keys = [chunk] if chunk else []
     if not keys:
-        metrics, keys = metrics.withColumn("_all", F.lit(1)), ["_all"]
-    return metrics.join(stats.nearest_rank_by(metrics, keys, metric, p, "_least"), keys).where(F.col(metric) >= F.col("_least")).drop("_least", "_all")
+        metrics, keys = metrics.withColumn("_one", F.lit(1)), ["_one"]
+    return metrics.join(stats.nearest_rank_by(metrics, keys, metric, p, "_least"), keys).where(F.col(metric) >= F.col("_least")).drop("_least", "_one")
 
 
 def template(volume: DataFrame, frames: DataFrame, frame: list[str], voxel: list[str], floor: float | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from oracle import agree
 
-from lumenframe.plans import acquisition_queries, binning_queries, catalog, relation_queries, segment_queries  # noqa: F401
+from lumenframe.plans import acquisition_queries, binning_queries, catalog, relation_queries, segment_queries, series_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

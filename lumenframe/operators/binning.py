@@ -179,9 +179,11 @@ def asymmetric_stats(rows: DataFrame, keys: list[str], value: str, rounds: int =
     """
     finite = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value)) < float("inf")))
     v = finite.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    out = None
-    for _ in range(rounds):  # a top is never above the one before, so the least of a value and the last top is its value now
-        now = v.withColumn("_w", F.col("_v")).withColumn("_top", F.lit(None).cast("double")) if out is None else v.join(out.select(*keys, F.least("_top", F.col("mean") + F.col("sd")).alias("_top")), keys).withColumn("_w", F.least("_v", "_top"))
-        n, s, q = F.sum("_n"), F.sum(F.col("_n") * F.col("_w")), F.sum(F.col("_n") * F.col("_w") * F.col("_w"))
-        out = now.groupBy(*keys).agg((s / n).alias("mean"), F.sqrt(F.greatest((q - s * s / n) / F.greatest(n - 1, F.lit(1)), F.lit(0.0))).alias("sd"), F.min("_top").alias("_top"))
-    return out.drop("_top")
+    w, v = Window.partitionBy(*keys), v.withColumn("_w", F.col("_v"))
+    for i in range(rounds):  # one shuffle by key, and a pass over a key's distinct values for each round
+        n, s = F.sum("_n").over(w), F.sum(F.col("_n") * F.col("_w")).over(w)
+        v = v.withColumns({"_c": n, "_s": s, "_q": F.sum(F.col("_n") * F.col("_w") * F.col("_w")).over(w)})
+        v = v.withColumn("mean", F.col("_s") / F.col("_c")).withColumn("sd", F.sqrt(F.greatest((F.col("_q") - F.col("_s") * F.col("mean")) / F.greatest(F.col("_c") - 1, F.lit(1)), F.lit(0.0))))
+        if i + 1 < rounds:
+            v = v.withColumn("_w", F.least("_w", F.col("mean") + F.col("sd")))
+    return v.groupBy(*keys).agg(F.max("mean").alias("mean"), F.max("sd").alias("sd"))

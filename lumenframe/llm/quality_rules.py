@@ -367,7 +367,7 @@ def bands(rows: DataFrame, names: list[str], lang: str, below: float, above: flo
     return found.select("lang", "pooled", ((F.col("q1") + F.col("q3")) / 2).alias("middle"), (spread * (below + 0.5)).alias("under"), (spread * (above + 0.5)).alias("over"))
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", below: float = 2.5, above: float = 2.5, least: int = 100, keep_text: bool = True) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", below: float = 2.0, above: float = 2.0, least: int = 100, keep_text: bool = True) -> DataFrame:
     """docs with the five counts, `log_perplexity`, `base_failed` and `kept`; without the text if it is not to be kept.
 
     Words are runs of what is neither a space nor 0x09-0x0D.  A text fails the base rules with under 50 words, or if

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, mixing, periodic_runs, pii, quality_classifier, quality_rules, quotes, substring_dedup, url_filter, warc
+from . import decontamination, jaccard_join, mixing, periodic_runs, pii, prefix_trie, quality_classifier, quality_rules, quotes, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_decontaminate": decontamination.op1_decontaminate,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_quote_links": quotes.op10_quote_links,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 #: Where SQL can state the result; the rest are tested against brute force.
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op6_warc": warc.OP6_SQL,
     "op7_ngram_jaccard": jaccard_join.OP7_SQL,
     "op11_periodic_runs": periodic_runs.OP11_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, mixing, periodic_runs, pii, prefix_trie, quality_classifier, quality_rules, quotes, substring_dedup, url_filter, warc
+from . import decontamination, jaccard_join, mixing, periodic_runs, pii, prefix_trie, quality_classifier, quality_rules, quotes, substring_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_decontaminate": decontamination.op1_decontaminate,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_quote_links": quotes.op10_quote_links,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 

@@ -181,7 +181,8 @@ def trie(rows: DataFrame, convs: DataFrame) -> DataFrame:
     rows = c.stored(rows, "sequences")
     depth = convs.agg(F.max("n")).first()[0] or 0
     keyed = c.stored(named(rows, depth), "named")
-    nodes = keyed.groupBy("key").agg(F.min("conv").alias("node"), F.first("p").alias("p"), F.count("*").alias("n_convs"), F.first("words").alias("words"))
+    # stored, since Spark splits a hot key's rows only where both sides of a join come from shuffles of their own
+    nodes = c.stored(keyed.groupBy("key").agg(F.min("conv").alias("node"), F.first("p").alias("p"), F.count("*").alias("n_convs"), F.first("words").alias("words")), "keys")
     path = c.stored(keyed.select("key", "conv", "p", "n").join(nodes.select("key", "node"), "key").drop("key"), "path")
     above = path.select(F.col("conv").alias("node"), (F.col("p") + 1).alias("p"), F.col("node").alias("parent"))
     nodes = c.stored(nodes.drop("key").join(above, ["node", "p"], "left"), "nodes")

@@ -25,7 +25,8 @@ U = np.uint64
 _BYTE_BASE, _WORD_BASE, _WORD_BASE_2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
 _SECTION = 1 << 18  # bytes or words hashed at once, which bounds the tables of powers
 PIECE = 4 << 20  # bytes of text that an operator works on at once, but for a longer text
-CHUNK = 256 << 20  # bytes of text in a chunk at most, about
+CHUNK = 32 << 20  # bytes of text in a chunk at most, about
+BUCKET = 64 << 20  # bytes of text whose keys make a bucket at most, about: some ten million keys
 #: What a worker keeps between tasks, by key; an operator that needs none of it empties it.
 KEPT: dict = {}
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -308,7 +309,7 @@ def slices(sorted_ids: np.ndarray):
     """(id, slice) of every run of a sorted array."""
     if len(sorted_ids):
         cuts = np.flatnonzero(sorted_ids[1:] != sorted_ids[:-1]) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(sorted_ids)], strict=True):
+        for a, b in zip(np.append(0, cuts), np.append(cuts, len(sorted_ids)), strict=True):
             yield int(sorted_ids[a]), slice(int(a), int(b))
 
 
@@ -328,13 +329,16 @@ CHUNKS_PER_PARTITION = 4
 
 def chunk_count(docs: DataFrame, text: str) -> int:
     """Four to a partition, or as many as it takes for none to hold over CHUNK bytes of text, about."""
-    size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(partitions(docs.sparkSession) * CHUNKS_PER_PARTITION, -(-size // CHUNK))
+    return chunks_and_buckets(docs, text)[0]
 
 
-def bucket_count(spark: SparkSession, chunks: int) -> int:
-    """Fewer than chunks: each chunk sends a row to each bucket, and a row should hold many keys."""
-    return max(partitions(spark), chunks // CHUNKS_PER_PARTITION)
+def chunks_and_buckets(docs: DataFrame, text: str) -> tuple[int, int]:
+    """Chunks, and buckets of keys: one to a partition, or as many as it takes for none to hold the keys of over BUCKET bytes of text, about.
+
+    Each chunk sends a row to each bucket that it has keys of, so an exchange has no more rows than keys, whatever the numbers.
+    """
+    n, size = partitions(docs.sparkSession), docs.select(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(n * CHUNKS_PER_PARTITION, -(-size // CHUNK)), max(n, -(-size // BUCKET))
 
 
 def chunk_of(n: int, *columns) -> F.Column:

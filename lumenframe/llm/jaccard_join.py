@@ -132,7 +132,7 @@ def _send(text, n, num, den, order, buckets, t: pa.Table, reps: pa.Table) -> pa.
             order_ = np.lexsort((tokens, bucket))
             tokens, member, bucket = tokens[order_], member[order_], bucket[order_]
             at = c.runs(tokens)
-            counts = np.diff([*at, len(tokens)]).astype(np.uint32)
+            counts = np.diff(at, append=len(tokens)).astype(np.uint32)
             if len(at):
                 member, tokens, bucket = np.add.reduceat(member, at), tokens[at], bucket[at]
             out = [(b, own, c.pack(tokens[s]), c.pack(member[s]), c.pack(counts[s])) for b, s in c.slices(bucket)]
@@ -156,7 +156,7 @@ def _found(t: pa.Table) -> pa.Table:
     at = c.runs(tokens)
     if not len(at):
         return _table(_FOUND, [])
-    size = np.diff([*at, len(tokens)])
+    size = np.diff(at, append=len(tokens))
     total, group = np.add.reduceat(counts.astype(np.int64), at), np.add.reduceat(members, at)
     group = c.mix(group + total.astype(np.uint64))
     good = np.repeat(total > 1, size)
@@ -305,8 +305,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     """
     spark = docs.sparkSession
     c.prepare(spark)
-    chunks = c.chunk_count(docs, text)
-    buckets = c.bucket_count(spark, chunks)
+    if 2 * num < den:
+        raise ValueError("links of a similarity under a half would join bitmaps of more than two widths")
+    chunks, buckets = c.chunks_and_buckets(docs, text)
     tail = frequent_tokens(docs, text, n)
     by_token = np.argsort(tail)
     order = spark.sparkContext.broadcast((tail[by_token], by_token.astype(np.uint64)))  # at most FREQUENT * 16 bytes

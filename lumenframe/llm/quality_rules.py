@@ -256,7 +256,9 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     files: dict = {}
     for path in spark.read.parquet(folder).inputFiles():
         kind, part = re.search(r"kind=(\w+)/part=(\d+)/", path).groups()
-        files.setdefault(kind, {})[int(part)] = path
+        if int(part) in files.setdefault(kind, {}):
+            raise ValueError(f"two files of part {part} of {kind}: unset spark.sql.files.maxRecordsPerFile")
+        files[kind][int(part)] = path
     return Model(files, parts, unseen)
 
 

@@ -62,7 +62,7 @@ def _hits(t: pa.Table) -> pa.Table:
     at = c.runs(keys)
     if not len(at):
         return _rows(_HITS, [])
-    size = np.diff([*at, len(keys)])
+    size = np.diff(at, append=len(keys))
     seen = np.bitwise_or.reduceat(flags, at)
     good = np.repeat((seen & 2 > 0) & ((seen & 1 > 0) | (size > 1)), size)
     keys, chunk = keys[good], chunk[good]
@@ -91,7 +91,7 @@ def _extended(text: str, chunk: str, block: int, k: int, buckets: int):
         order = np.lexsort((more, w))
         w, more = w[order], more[order]
         at = c.runs(w, more)
-        n = np.diff([*at, len(w)])
+        n = np.diff(at, append=len(w))
         w, more = w[at], more[at]
         own = t[chunk][0].as_py()
         return _rows(_WINDOWS, [(b, own, c.pack(w[s]), c.pack(more[s]), c.pack((n[s] > 1).astype(np.uint8))) for b, s in c.slices(c.bucket_of(w, buckets))])
@@ -109,7 +109,7 @@ def _repeats(t: pa.Table) -> pa.Table:
     at = c.runs(keys, more)
     if not len(at):
         return _rows(_REPEATS, [])
-    size = np.diff([*at, len(keys)])
+    size = np.diff(at, append=len(keys))
     good = np.repeat((size > 1) | (np.maximum.reduceat(many, at) > 0), size)
     keys, more, chunk = keys[good], more[good], chunk[good]
     order = np.argsort(chunk, kind="stable")
@@ -175,8 +175,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", k: int = 35) -> DataFram
     c.prepare(spark)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    block, chunks = (k + 1) // 2, c.chunk_count(docs, text)
-    buckets = c.bucket_count(spark, chunks)
+    block = (k + 1) // 2
+    chunks, buckets = c.chunks_and_buckets(docs, text)
     chunk, *names = c.fresh(docs, "chunk", "n_words", "n_removed", "kept_text", "repeats")
     dealt = c.dealt(docs.withColumn(chunk, c.chunk_of(chunks, *c.hashable(docs))), chunk)
     by_chunk = dealt.groupBy(chunk)

@@ -1,11 +1,11 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 Texts are lower-cased, whatever is no letter or digit becomes a space, and runs of spaces one.  An n-gram of NGRAMS characters
-counts once a text, in one of 2**BITS buckets.  Spark counts over all labelled texts how many of either label hold each bucket; its ratio is
+counts once a text, in one of 2**BITS buckets.  Spark counts how many labelled texts of either label hold each bucket; its ratio is
     r = log((1 + toxic with it) / sum) - log((1 + others with it) / sum)
 and the FEATURES buckets whose ratio is furthest from 0, measured by its standard error, are kept.  A logistic model with features
-r * (whether the text holds it) is fitted on MOST labelled texts of either label at most, those with the smallest hashes: a
-documented bound on what the weights are fitted on, not on counts or on what is scored.  The sample is weighted to the labels' true shares.
+r * (whether the text holds it) is fitted, weighted to the labels' true shares.  Counts are of COUNTED labelled ids of either label, about,
+and weights of MOST of them, those with the smallest hashes: a documented bound on what is learned from, not on what is scored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from . import common as c
 
-NGRAMS, BITS, FEATURES, MOST = (3, 4, 5, 6), 20, 4096, 8000
+NGRAMS, BITS, FEATURES, COUNTED, MOST = (3, 4, 5, 6), 20, 4096, 100_000, 8000
 _KEPT = "toxicity characters"
 
 
@@ -118,7 +118,7 @@ def _featured(sent, batches):
             row, feature = _held(*grams(part.column("text")), place)
             cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
             x = [feature[i:j].astype(np.uint16).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.record_batch([part.column("y"), pa.array(x, pa.binary())], names=["y", "x"])
+            yield pa.record_batch([part.column("id").cast(pa.string()), part.column("y"), pa.array(x, pa.binary())], names=["id", "y", "x"])
 
 
 def _sigmoid(z):
@@ -162,16 +162,16 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     spark = docs.sparkSession
     c.prepare(spark)
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
-    labelled = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(known, "id").select("id", "y", "text")
-    labelled = c.stored(labelled, "labelled")
+    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    labelled = texts.join(F.broadcast(_smallest(known, sizes, COUNTED)), "id")  # COUNTED ids of either label, so that no text is shuffled
     counted = c.stored(counts(labelled.select("y", "text")), "buckets")
     chosen = ratios(counted).toPandas()  # FEATURES rows
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen["bucket"].to_numpy(np.int64)] = np.arange(len(chosen))
-    sizes = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
     sent = spark.sparkContext.broadcast(place)
-    sample = _smallest(labelled, sizes)
-    got = sample.select("y", "text").mapInArrow(partial(_featured, sent), "y int, x binary").toPandas()  # MOST rows of FEATURES numbers at most, of either label
+    sample = _smallest(labelled, sizes, MOST).select("id", "y", "text").mapInArrow(partial(_featured, sent), "id string, y int, x binary")
+    got = sample.dropDuplicates(["id"]).toPandas()  # MOST rows of FEATURES numbers at most, of either label
     if not len(got):
         return Model(place, np.zeros(len(chosen)), 0.0)
     got = got.sort_values(["y", "x"], kind="stable")  # rows come in any order
@@ -182,20 +182,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return Model(place, r * w, bias)
 
 
-def _smallest(labelled: DataFrame, sizes: dict) -> DataFrame:
-    """MOST rows of either label at most: those below a hash that lets through so many of them but for chance, then the smallest."""
-    h = F.xxhash64("id", F.lit(12))
-    parts = []
-    for y, n in sizes.items():
-        share = min(1.0, 1.2 * MOST / n + 200 / n)
-        part = labelled.where(F.col("y") == y)
-        if share < 1:
-            part = part.where(h < int(-(1 << 63) + share * (1 << 64)))
-        parts.append(part.orderBy(h, F.xxhash64("text")).limit(MOST) if n > MOST else part)
-    out = parts[0] if parts else labelled
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+def _smallest(rows: DataFrame, sizes: dict, most: int) -> DataFrame:
+    """Rows (id, y) whose hash is under what lets through `most` ids of their label, but for chance."""
+    limits = {y: int(-(1 << 63) + min(1.0, most / n) * (1 << 64)) for y, n in sizes.items() if n > most}
+    limit = F.lit(None).cast("long")
+    for y, x in limits.items():
+        limit = F.when(F.col("y") == y, F.lit(x)).otherwise(limit)
+    return rows.where(limit.isNull() | (F.xxhash64("id", F.lit(12)) < limit))
 
 
 @c.released

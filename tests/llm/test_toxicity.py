@@ -75,6 +75,7 @@ def test_held_out_labels(spark):
 
 def test_nulls_long_texts_ties_and_clashing_names(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "MOST", 6)
+    monkeypatch.setattr(toxicity, "COUNTED", 14)
     rows = [(i, f"a vile word number {i} " if i % 2 else f"some good text {i}", 1.5) for i in range(40)] + [(90, None, 1.0), (91, "", 1.0), (None, "a vile word", None), (92, "good text " * 30_000 + "vile word", 2.0), (1, "a vile word number 1 ", 1.5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(1, 0), (None, 1), (3, None), (90, 1)], "doc_id long, toxic int")

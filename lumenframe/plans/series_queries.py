@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import grid, series, temporal
+from ..operators import elastic, grid, series, temporal
 from .catalog import _BINS, _DAILY, _E, _P, _W, AXES, _daily, _events, _points, _t, query
 
 
@@ -185,3 +185,20 @@ def struct_functions(spark, sf_dir):
 def predicate_functions(spark, sf_dir):
     x = F.col("l_extendedprice")
     return _t(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("f")).agg(F.bool_or(F.col("l_tax") > 0.07).alias("some"), F.bool_and(F.col("l_quantity") > 0).alias("every"), F.count_if(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).alias("finite"))
+
+
+# ---------------------------------------------------------------- elastic alignment
+
+
+@query()
+def elastic_alignment(spark, sf_dir):
+    """Each type's hourly mean values, aligned in time to those of all events: hour, the hour that it is matched with, magnitude."""
+    e = _events(spark, sf_dir).withColumn("hour", F.floor(F.col("t") / 3600000000).cast("long"))
+    span = e.agg(F.min("hour").alias("first"), F.max("hour").alias("last"))
+    grid_ = e.select("event_type").distinct().join(F.broadcast(span), how="cross").select("event_type", "first", F.explode(F.sequence("first", "last")).alias("hour"))  # span is one row
+    both = grid_.join(e.groupBy("hour").agg(F.avg("value").alias("all")), "hour", "left").join(e.groupBy("event_type", "hour").agg(F.avg("value").alias("own")), ["event_type", "hour"], "left").withColumn("i", F.col("hour") - F.col("first"))
+    known = both.where("all is not null").select("event_type", "i", F.col("i").cast("double").alias("hour"), F.col("all").alias("w"))
+    unknown = both.select("event_type", "i", F.col("own").alias("w"))
+    ends = unknown.groupBy("event_type").agg(F.lit(-1.0).alias("t0"), (F.max("i") + 1).cast("double").alias("t1"))
+    out = elastic.aligned(known, unknown, ["event_type"], "i", "hour", ["w"], ends, 0.25, 200.0, 20.0)
+    return out.select("event_type", "i", F.round("hour", 3).alias("hour"), F.round("magnitude", 4).alias("magnitude"))

@@ -6,7 +6,6 @@ Whatever needs a series, a frame or a segment of frames as a whole goes through
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -64,37 +63,6 @@ def splined(rows: DataFrame, keys: list[str], t: str, value: str, p: float, boun
     return estimators.by_key(some, keys, [t], lambda d: d.assign(smooth=fits.smoothing_spline(d[t].to_numpy(float), d[value].to_numpy(float), p)), f"{estimators._ddl(some)}, smooth double", bound)
 
 
-# ---------------------------------------------------------------- hulls
-
-
-def hull_facets(points: DataFrame, keys: list[str], x: str, y: str, z: str, bound: int = 64) -> DataFrame:
-    """Of each key's points the half-spaces a x + b y + c z <= d of their hull, unit normals, each once: for `geometry.in_hull`.
-
-    Every plane through three points that has all others on one side; `bound` points a hull, as marked by hand.
-    """
-    kinds = dict(points.dtypes)
-
-    def one(p):
-        v = np.unique(p[[x, y, z]].to_numpy(float), axis=0)
-        found = {}
-        for i in combinations(range(len(v)), 3):
-            n = np.cross(v[i[1]] - v[i[0]], v[i[2]] - v[i[0]])
-            size = np.linalg.norm(n)
-            if size < 1e-12:
-                continue
-            n = n / size
-            side = v @ n - v[i[0]] @ n
-            for s in (1, -1):
-                if (s * side <= 1e-9).all():
-                    found[tuple(np.round(s * n, 9) + 0.0)] = float(s * (v[i[0]] @ n))
-        rows = [(*n, d) for n, d in sorted(found.items())]
-        a, b, c, d = (list(q) for q in zip(*rows, strict=True)) if rows else ([], [], [], [])
-        return pd.DataFrame({**{k: p[k].iloc[:1].repeat(len(a)).to_numpy() for k in keys}, "a": a, "b": b, "c": c, "d": d})
-
-    some = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).select(*keys, x, y, z)
-    return estimators.by_key(some, keys, [x, y, z], one, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "a double, b double, c double, d double"]), bound)
-
-
 # ---------------------------------------------------------------- fits of frames
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,15 +113,22 @@ def one_per_time(fits: DataFrame, keys: list[str], t: str, values: list[str], an
 
 def region_mask(spark, axes: list[Axis], inside: Column, voi: int) -> DataFrame:
     """Voxels whose centre (columns x, y, z) satisfies a predicate: a sphere's, a cylinder's or a hull's."""
-    n = 1
-    for a in axes:
-        n *= a.n
-    g, step = spark.range(n).withColumnRenamed("id", "_k"), 1
+    return region_masks(spark.range(1).select(F.lit(voi).alias("voi")), ["voi"], axes, {"": inside}).drop("kind")
+
+
+def region_masks(regions: DataFrame, keys: list[str], axes: list[Axis], kinds: dict[str, Column]) -> DataFrame:
+    """keys, kind and voxels whose centre (columns x, y, z) lies in each region; what is inside may name the regions' columns.
+
+    Each region makes its own grid, which the axes bound; a region with nulls has none.
+    """
+    n = math.prod(a.n for a in axes)
+    g, step = regions.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))), 1
     for a in reversed(axes):
         g = g.withColumn(f"i{a.name}", (F.floor(F.col("_k") / step) % a.n).cast("long"))
         step *= a.n
     g = g.withColumns({a.name: F.lit(a.start) + (F.col(f"i{a.name}") + 0.5) * a.width for a in axes})
-    return g.where(inside).select(F.lit(voi).alias("voi"), *(f"i{a.name}" for a in axes))
+    each = F.explode(F.array_compact(F.array(*(F.when(inside, F.lit(k)) for k, inside in kinds.items()))))
+    return g.select(*keys, each.alias("kind"), *(f"i{a.name}" for a in axes))
 
 
 def radius_contrast(points: DataFrame, centre: tuple, radii: list[float], value: str) -> DataFrame:

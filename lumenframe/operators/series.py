@@ -173,13 +173,15 @@ def spectrum(df: DataFrame, keys: list[str], index: str, value: str, n: int, dt:
 
 
 def bounding_rectangle(points: DataFrame, keys: list[str], x: str, y: str, steps: int = 90) -> DataFrame:
-    """Of each key the rectangle of least area among `steps` directions of a quarter turn: angle, width, height, area."""
-    a = F.col("_a")
-    rows = points.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"), F.explode(F.array(*(F.lit(math.pi / 2 * i / steps) for i in range(steps)))).alias("_a"))
-    u, v = F.cos(a) * F.col("_x") + F.sin(a) * F.col("_y"), F.cos(a) * F.col("_y") - F.sin(a) * F.col("_x")
-    g = rows.groupBy(*keys, "_a").agg((F.max(u) - F.min(u)).alias("w"), (F.max(v) - F.min(v)).alias("h"))
-    best = F.min(F.struct(F.round(F.col("w") * F.col("h"), 9).alias("area"), a.alias("angle"), F.col("w").alias("width"), F.col("h").alias("height")))
-    return g.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.angle", "_b.width", "_b.height", "_b.area")
+    """Of each key the rectangle of least area among `steps` directions of a quarter turn: angle, width, height, area; `hulls.least_rectangle` has the exact one."""
+    sums, boxes = [], []
+    for i in range(steps):
+        a = math.pi / 2 * i / steps
+        u, v = math.cos(a) * F.col(x) + math.sin(a) * F.col(y), math.cos(a) * F.col(y) - math.sin(a) * F.col(x)
+        sums += [(F.max(u) - F.min(u)).alias(f"_w{i}"), (F.max(v) - F.min(v)).alias(f"_h{i}")]
+        boxes.append(F.struct(F.round(F.col(f"_w{i}") * F.col(f"_h{i}"), 9).alias("area"), F.lit(a).alias("angle"), F.col(f"_w{i}").alias("width"), F.col(f"_h{i}").alias("height")))
+    best = points.groupBy(*keys).agg(*sums).select(*keys, F.array_min(F.array(*boxes)).alias("_b"))
+    return best.select(*keys, "_b.angle", "_b.width", "_b.height", "_b.area")
 
 
 def peaks2d(image: DataFrame, x: str, y: str, value: str, least: float, by: list[str] | None = None) -> DataFrame:

@@ -39,10 +39,11 @@ def time_range(spark, sf_dir):
     return acquisition.in_range(_photons(spark, sf_dir), "t", 1704153600000000, 1704672000000000, 30000000)
 
 
-@query("SELECT k AS chunk, k * 1000 AS t0, k * 1000 + 1000 AS t1 FROM (SELECT unnest(range(500)) AS k) WHERE 12500 < k * 1000 + 1000 AND 47000 >= k * 1000")
+@query("WITH c AS (SELECT event_id // 64 AS chunk, epoch_us(min(ts)) AS t0, epoch_us(max(ts)) AS t1 FROM events GROUP BY 1) SELECT * FROM c WHERE 1704153600000000 < t1 AND 1705000000000000 >= t0")
 def chunk_pruning(spark, sf_dir):
-    chunks = spark.range(500).select(F.col("id").alias("chunk"), (F.col("id") * 1000).alias("t0"), (F.col("id") * 1000 + 1000).alias("t1"))
-    return acquisition.chunks_for(chunks, 12500, 47000)
+    """Chunks of 64 events each whose time meets a range."""
+    e = _events(spark, sf_dir).groupBy(F.floor(F.col("event_id") / 64).cast("long").alias("chunk")).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    return acquisition.chunks_for(e, 1704153600000000, 1705000000000000)
 
 
 _COMMON = "c AS (SELECT user_id, greatest(min(rt), 1704153600000000) AS t0, least(max(rt), 1706745600000000) AS t1 FROM g GROUP BY user_id)"

@@ -42,13 +42,3 @@ def labelled_strides(spark, sf_dir):
     label = F.when(F.floor(F.col("h") / 48) % 3 == 0, 1).when(F.floor(F.col("h") / 48) % 3 == 1, 2).otherwise(0)
     out = behaviour.labelled_strides(e.withColumn("label", label), ["event_type"], "h", "v", "label")
     return out.withColumn("phase", F.round("phase", 5))
-
-
-@query()
-def hull_facets(spark, sf_dir):
-    """The hull of the twenty points of the largest price of each colour."""
-    from ..operators import relations
-
-    p = _points(spark, sf_dir)
-    few = relations.stacked(*(relations.top(p.where(F.col("f") == f), "d", 20, "l_orderkey") for f in "ANR"))
-    return behaviour.hull_facets(few, ["f"], "x", "y", "z")

@@ -130,19 +130,6 @@ def overlapping_fits(spark, sf_dir):
     return out.select("l_partkey", F.round("x", 6).alias("x"), F.round("a", 5).alias("a"))
 
 
-_GRID = "g AS (SELECT ix, iy, iz, 1 + 5 * (ix + 0.5e0) AS x, 2 * (iy + 0.5e0) AS y, iz + 0.5e0 AS z FROM (SELECT unnest(range(10)) AS ix), (SELECT unnest(range(6)) AS iy), (SELECT unnest(range(9)) AS iz))"
-
-
-@query(f"""WITH {_GRID} SELECT 1 AS voi, ix, iy, iz FROM g WHERE (x - 25) ** 2 + (y - 5) ** 2 + (z - 4) ** 2 < 100 UNION ALL SELECT 2, ix, iy, iz FROM g WHERE (x - 25) ** 2 + (y - 5) ** 2 < 64 AND abs(z - 4) < 3
-UNION ALL SELECT 3, ix, iy, iz FROM g WHERE x + y <= 20 AND -x <= -2 AND z <= 5""")
-def voi_masks(spark, sf_dir):
-    axes, (x, y, z) = [a for _, a in AXES], (F.col(c) for c in "xyz")
-    sphere = binning.region_mask(spark, axes, geometry.in_sphere(x, y, z, (25, 5, 4), 10), 1)
-    cylinder = binning.region_mask(spark, axes, geometry.in_cylinder(x, y, z, (25, 5, 4), 8, 3), 2)
-    hull = binning.region_mask(spark, axes, geometry.in_hull(x, y, z, [(1, 1, 0, 20), (-1, 0, 0, -2), (0, 0, 1, 5)]), 3)
-    return sphere.unionByName(cylinder).unionByName(hull)
-
-
 @query(f"WITH {_P}, q AS (SELECT d, (x - 25) ** 2 + (y - 5) ** 2 + (z - 4) ** 2 AS s FROM p), r AS (SELECT unnest([4e0, 8e0, 12e0]) AS radius) SELECT radius, round(avg(d) FILTER (s < radius ** 2) - avg(d) FILTER (s >= radius ** 2 AND s < 2 ** (2 / 3e0) * radius ** 2), 3) AS contrast FROM q, r GROUP BY radius")
 def radius_contrast(spark, sf_dir):
     return binning.radius_contrast(_points(spark, sf_dir), (25, 5, 4), [4, 8, 12], "d").withColumn("contrast", F.round("contrast", 3))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import behaviour, fits, geometry
+from lumenframe.operators import behaviour, fits, geometry, hulls
 
 
 def test_strides_of_labelled_crawls(spark):
@@ -25,7 +25,7 @@ def test_monotone_repair_and_splines(spark):
 
 def test_hull_facets_of_a_cube(spark):
     cube = [("c", float(i), float(j), float(k)) for i in (0, 2) for j in (0, 2) for k in (0, 2)] + [("c", 1.0, 1.0, 1.0)]
-    facets = behaviour.hull_facets(spark.createDataFrame(cube, "h string, x double, y double, z double"), ["h"], "x", "y", "z").collect()
+    facets = hulls.facets(spark.createDataFrame(cube, "h string, x double, y double, z double"), ["h"], "x", "y", "z").collect()
     assert len(facets) == 6
     at = spark.createDataFrame([(1.0, 1.0, 0.5), (2.0, 2.0, 2.0), (2.1, 1.0, 1.0)], "x double, y double, z double")
     inside = geometry.in_hull(F.col("x"), F.col("y"), F.col("z"), [(r.a, r.b, r.c, r.d) for r in facets])

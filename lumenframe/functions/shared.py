@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def kept(df: DataFrame) -> DataFrame:
-    """df checkpointed: its lineage is cut, and a lost executor costs nothing.
 
-    The folder is spark.checkpoint.dir; where it is unset in local mode, as in tests, a temporary one, and elsewhere an error.
-    """
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset in local mode, as in tests, a temporary folder, and elsewhere an error."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = "/tmp/checkpoints"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            path = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one."""
+    return f"{folder(spark)}/lumenframe-{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df checkpointed: its lineage is cut, and a lost executor costs nothing."""
+    folder(df.sparkSession)
     return df.checkpoint()

@@ -3,8 +3,9 @@
 A file is cut into ranges of words, and every range is read with CONTEXT more words on either side, so that records, the tags and the
 timers that its words refer to are at hand.  Two passes, neither of which shuffles words:
 
-1. `scan` finds each range's timers and sends a line for each run of equal counters.  From these few lines Spark derives the
-   counter's wraps, each range's first timer number, and the counters that are complete (`index`).
+1. `scan` finds each range's timers and sends a line for each run of equal counters, with sums over its tags.  From these few lines
+   Spark derives the counter's wraps, each range's first timer number, the counters that are complete, what a file's
+   tags hold (`index`), and each counter's clock (`clocks`).
 2. `decoded` reads each range again with its lines of the index and puts every record on the clock with numpy.
 
 A record belongs to the range in which it starts.
@@ -72,26 +73,63 @@ def marks(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     return timers, aods, used, bad
 
 
+def _nearest(tags: np.ndarray, timers: np.ndarray) -> np.ndarray:
+    """The tag nearest each timer in words, of two as near the earlier one; -1 before the first tag and after the last."""
+    if not len(tags):
+        return np.full(len(timers), -1)
+    after = np.minimum(np.searchsorted(tags, timers), len(tags) - 1)
+    before = np.maximum(after - 1, 0)
+    near = np.where(np.abs(tags[after] - timers) < np.abs(timers - tags[before]), after, before)
+    return np.where((timers < tags[0]) | (timers > tags[-1]), -1, near)
+
+
+def _passed(tags: np.ndarray, v: np.ndarray, at: int) -> np.ndarray:
+    """Ticks from a range's start to each tag, if tags hold the interval since the last one less a tick."""
+    total = np.cumsum(v + 1)
+    return total - (total[tags < at][-1] if (tags < at).any() else 0)
+
+
+_MOMENTS = [f"{x}{beam}" for beam in (1, 2) for x in ("tags", "sum", "squares", "timers", "places", "passed")]
+
+
 def _scan(batches):
-    names = ["file", "range", "run", "counter", "n", "bad"]
+    names = ["file", "range", "run", "counter", "n", "bad", *_MOMENTS]
     for b in batches:
         for file, k, start, n in zip(*(b.column(x).to_pylist() for x in ("file", "range", "start", "n")), strict=True):
             w, at = _read(file, start, n)
-            timers, _, _, bad = marks(w)
-            c = w[timers[(timers >= at) & (timers < at + n)]].astype(np.int64) & 4095
+            timers, _, used, bad = marks(w)
+            timers = timers[(timers >= at) & (timers < at + n)]
+            c = w[timers].astype(np.int64) & 4095
             first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, int)
             size = np.diff(np.r_[first, len(c)])
             rows = len(first) or 1
-            yield pa.record_batch([pa.array([file] * rows), pa.array([k] * rows), pa.array(np.arange(rows)), pa.array(c[first] if len(c) else np.array([None], object), pa.int64()), pa.array(size if len(c) else np.zeros(1, np.int64)), pa.array([bad] + [0] * (rows - 1))], names=names)
+            zero, moments = [0] * (rows - 1), []
+            for beam in (1, 2):
+                tags = np.flatnonzero((w >> 12 == TAG[beam - 1]) & ~used)
+                v = w[tags].astype(np.int64) & 4095
+                own = v[(tags >= at) & (tags < at + n)]
+                near = _nearest(tags, timers)
+                some = (near >= 0).astype(np.int64)
+                passed = np.where(near >= 0, _passed(tags, v, at)[near] if len(tags) else 0, 0)
+                moments += [[len(own), *zero], [int(own.sum()), *zero], [int((own * own).sum()), *zero]]
+                place = some * (np.arange(len(c)) - np.repeat(first, size))
+                moments += [np.add.reduceat(x, first).tolist() if len(c) else [0] for x in (some, place, passed)]
+            columns = [pa.array([file] * rows), pa.array([k] * rows), pa.array(np.arange(rows)), pa.array(c[first] if len(c) else np.array([None], object), pa.int64()), pa.array(size if len(c) else np.zeros(1, np.int64)), pa.array([bad, *zero])]
+            yield pa.record_batch([*columns, *(pa.array(x, pa.int64()) for x in moments)], names=names)
 
 
 def scan(cut: DataFrame) -> DataFrame:
-    """Of each range its runs of equal counters: file, range, run, counter, n timers, and `bad` checksums (in the first run)."""
-    return cut.mapInArrow(_scan, "file string, range long, run long, counter long, n long, bad long")
+    """Of each range its runs of equal counters: file, range, run, counter, n timers; in the first run `bad` checksums and, by beam, how
+    many tags there are, their sum and their squares' sum; in each run how many timers lie between tags, their places in the run, and the
+    ticks that had passed since the range's start at the tags nearest them.
+    """
+    return cut.mapInArrow(_scan, ", ".join(["file string", *(f"{x} long" for x in ("range", "run", "counter", "n", "bad", *_MOMENTS))]))
 
 
 def index(runs: DataFrame) -> DataFrame:
-    """runs with the counter unwrapped, `first`, the number of their first timer in the file, and `wraps` that came before.
+    """runs with the counter unwrapped, `first`, the number of their first timer in the file, `wraps` that came before, and by beam
+    `start`, the ticks that had passed before their range, and `absolute`, whether the file's tags give their time: they then scatter by over a
+    fifth of their mean.
 
     A line for each counter and range: few, and so one window a file.
     """
@@ -99,6 +137,12 @@ def index(runs: DataFrame) -> DataFrame:
     last = F.last("counter", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     r = runs.withColumn("_down", F.when(F.col("counter") < last, 1).otherwise(0)).withColumn("first", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     r = r.withColumn("wraps", F.sum("_down").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    for beam in (1, 2):
+        n, total, squares = (F.sum(f"{x}{beam}").over(Window.partitionBy("file")) for x in ("tags", "sum", "squares"))
+        r = r.withColumn(f"start{beam}", F.coalesce(F.sum(F.col(f"sum{beam}") + F.col(f"tags{beam}")).over(Window.partitionBy("file").orderBy("range").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        mean = F.try_divide(total, n)
+        spread = F.try_divide(squares - total * mean, n - 1)
+        r = r.withColumn(f"absolute{beam}", F.coalesce(spread > 0.04 * mean * mean, F.lit(False)))
     return r.withColumn("counter", F.col("counter") + WRAP * F.col("wraps")).drop("_down")
 
 
@@ -108,6 +152,28 @@ def counters(indexed: DataFrame, complete: int = PER_COUNTER) -> DataFrame:
     return g.withColumn("complete", F.col("n") == complete).withColumn("t0", F.col("counter") * (COUNTER / 1.6e8)).withColumn("t1", (F.col("counter") + 1) * (COUNTER / 1.6e8))
 
 
+def clocks(indexed: DataFrame, complete: int = PER_COUNTER) -> DataFrame:
+    """counters() with `shift1` and `shift2`: by beam, what turns the ticks that have passed at a tag into its time.
+
+    Of a complete counter the mean over its timers of their time less what had passed at the tags nearest them; of another that of
+    the next complete one, else of the last; where no counter is complete, each has its own.
+    """
+    c = counters(indexed, complete)
+    per = indexed.where("counter is not null").join(c.select("file", "counter", F.col("first").alias("_f")), ["file", "counter"])
+    begin = F.col("counter") * COUNTER + (F.col("first") - F.col("_f")) * STEP  # of the run's first timer
+    sums = []
+    for beam in (1, 2):
+        n = F.col(f"timers{beam}")
+        sums.append(F.try_divide(F.sum(n * (begin - F.col(f"start{beam}")) + STEP * F.col(f"places{beam}") - F.col(f"passed{beam}")), F.sum(n)).alias(f"_s{beam}"))
+    c = c.join(per.groupBy("file", "counter").agg(*sums), ["file", "counter"], "left")
+    w = Window.partitionBy("file").orderBy("counter")  # a line for each counter
+    for beam in (1, 2):
+        own = F.when(F.col("complete"), F.col(f"_s{beam}"))
+        after, before = F.first(own, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        c = c.withColumn(f"shift{beam}", F.coalesce(after, before, F.col(f"_s{beam}")))
+    return c.drop("_s1", "_s2")
+
+
 def report(indexed: DataFrame, complete: int = PER_COUNTER) -> DataFrame:
     """Of each file: counters, those that lack timers or are missing between the first and the last, and wrong checksums."""
     c = counters(indexed, complete).groupBy("file").agg(F.count("*").alias("counters"), F.count_if(~F.col("complete")).alias("incomplete"), (F.max("counter") - F.min("counter") + 1 - F.count("*")).alias("missing"))
@@ -126,20 +192,33 @@ def _aligned(tick: np.ndarray, before: np.ndarray, low: np.ndarray, agree: int,
     return out, good
 
 
-def _placed(w: np.ndarray, at: int, n: int, number: int, known: np.ndarray, absolute: bool | None):
-    """Arrays of every record that starts in w[at : at + n]; number: of its first timer; known: (timer number, tick) of counters' first timers."""
+def _interpolated(tick: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Ticks of records that agree with no timer, between those of the records beside them that do."""
+    if good.sum() > 1 and not good.all():
+        tick[~good] = np.round(np.interp(np.flatnonzero(~good), np.flatnonzero(good), tick[good])).astype(np.int64)
+    return tick
+
+
+def _placed(w: np.ndarray, at: int, n: int, number: int, known: list[dict], start: tuple[int, int], absolute: tuple[bool, bool]):
+    """Arrays of every record that starts in w[at : at + n].
+
+    number: of its first timer; known: the counters near (first timer's number, tick, complete, shift1, shift2); start and
+    absolute: by beam, ticks passed before the range, and what the file's tags hold.
+    """
     timers, aods, used, _ = marks(w)
     data, code = (w & 4095).astype(np.int64), w >> 12
     own = lambda p: (p >= at) & (p < at + n)
     i = np.arange(len(timers)) - int((timers < at).sum()) + number
-    if not len(known) or not len(timers):
+    if not known or not len(timers):
         return
-    k, tick0 = known[:, 0].astype(float), known[:, 1].astype(float)
-    if len(known) == 1:
-        tick = (i - int(known[0, 0])) * STEP + int(known[0, 1])
+    known = sorted(known, key=lambda x: x["first"])
+    whole = [x for x in known if x["complete"]] or known
+    k, tick0 = (np.array([x[c] for x in whole], np.int64) for c in ("first", "tick"))
+    if len(whole) == 1:
+        tick = (i - k[0]) * STEP + tick0[0]
     else:
         s = np.clip(np.searchsorted(k, i, side="right") - 1, 0, len(k) - 2)
-        tick = np.round(tick0[s] + (tick0[s + 1] - tick0[s]) * (i - k[s]) / (k[s + 1] - k[s])).astype(np.int64)
+        tick = np.round(tick0[s] + (tick0[s + 1] - tick0[s]) * ((i - k[s]) / (k[s + 1] - k[s]))).astype(np.int64)
     place = np.stack([w[timers + j].view(np.int16) / 64 for j in range(2, 8)], 1)
     mine = own(timers)
     for beam in (1, 2):
@@ -147,29 +226,35 @@ def _placed(w: np.ndarray, at: int, n: int, number: int, known: np.ndarray, abso
         yield {"kind": "timer", "pos": timers[mine], "beam": beam, "tick": tick[mine], "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2], "counter": tick[mine] // COUNTER}
     before = lambda p: np.searchsorted(timers, p) - 1
     for beam in (1, 2):
-        p = aods[(code[aods] == AOD[beam - 1]) & own(aods)]
+        p = aods[code[aods] == AOD[beam - 1]]
         low, b = data[p] * 16, before(p)
         t = [tick[np.clip(b + o, 0, len(tick) - 1)] for o in (0, 1, -1)]
         fits = [(x & 61440) == (low & 61440) for x in t]
         base = np.where(fits[2], t[2], np.where(fits[1], t[1], t[0]))
-        yield {"kind": "aod", "pos": p, "beam": beam, "tick": (base & ~np.int64(65535)) + low, "x": w[p + 2].view(np.int16) / 64, "y": w[p + 3].view(np.int16) / 64, "matched": fits[0] | fits[1] | fits[2]}
+        good = fits[0] | fits[1] | fits[2]
+        at_tick = _interpolated((base & ~np.int64(65535)) + low, good)
+        mine = own(p)
+        p = p[mine]
+        yield {"kind": "aod", "pos": p, "beam": beam, "tick": at_tick[mine], "x": w[p + 2].view(np.int16) / 64, "y": w[p + 3].view(np.int16) / 64, "matched": good[mine]}
     for beam in (1, 2):
         tags = np.flatnonzero((code == TAG[beam - 1]) & ~used)
         if not len(tags):
             continue
         v = data[tags]
-        if absolute if absolute is not None else len(v) > 1 and v.std(ddof=1) > 0.2 * v.mean():
+        if absolute[beam - 1]:
             elapsed, good = _aligned(tick, before(tags), 4 * v, 0x3000, 0x3FFF)
-            if good.sum() > 1:
-                elapsed[~good] = np.round(np.interp(np.flatnonzero(~good), np.flatnonzero(good), elapsed[good])).astype(np.int64)
+            elapsed = _interpolated(elapsed, good)
             period = np.diff(elapsed, prepend=elapsed[:1]).astype(float)
             period[:1] = period[1:2] if len(period) > 1 else np.nan
         else:
             period, good = v.astype(float), np.ones(len(v), bool)
-            elapsed = np.cumsum(v + 1)
-            near = np.clip(np.searchsorted(tags, timers), 1, max(1, len(tags) - 1))
-            near = np.where((near < len(tags)) & (np.abs(tags[np.minimum(near, len(tags) - 1)] - timers) <= np.abs(timers - tags[near - 1])), np.minimum(near, len(tags) - 1), near - 1)
-            elapsed = elapsed + int(round(float(np.mean(tick - elapsed[near]))))
+            # a counter's clock holds up to the first tag after its last timer
+            of = np.searchsorted([x["first"] for x in known], i, side="right") - 1
+            change = np.flatnonzero(np.diff(of))
+            edge = tags[np.minimum(np.searchsorted(tags, timers[change]), len(tags) - 1)]
+            counter = np.append(of[change], of[-1])[np.searchsorted(edge, tags)]
+            shift = np.array([x[f"shift{beam}"] or 0.0 for x in known])[np.maximum(counter, 0)]
+            elapsed = np.round(start[beam - 1] + _passed(tags, v, at) + shift).astype(np.int64)
         mine = own(tags)
         yield {"kind": "tag", "pos": tags[mine], "beam": beam, "tick": elapsed[mine], "period": period[mine], "matched": good[mine]}
         for color, codes in (("g", (GREEN, BOTH)), ("r", (RED, BOTH))):
@@ -188,10 +273,11 @@ def _decode(absolute, batches):
     fields = [x.split() for x in EVENTS.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
     for b in batches:
-        for file, start, n, number, known in zip(*(b.column(x).to_pylist() for x in ("file", "start", "n", "number", "known")), strict=True):
+        for r in b.to_pylist():
+            file, start, n = r["file"], r["start"], r["n"]
             w, at = _read(file, start, n)
-            k = np.array(sorted({(x["first"], x["tick"]) for x in known or []}), np.int64).reshape(-1, 2)
-            for part in _placed(w, at, n, number or 0, k, absolute):
+            modes = tuple(r[f"absolute{beam}"] if absolute is None else absolute for beam in (1, 2))
+            for part in _placed(w, at, n, r["number"] or 0, r["known"] or [], (r["start1"] or 0, r["start2"] or 0), modes):
                 rows = len(part["pos"])
                 part["pos"] = part["pos"] + start - at
                 part["file"] = file
@@ -209,20 +295,19 @@ def decoded(cut: DataFrame, indexed: DataFrame, absolute: bool | None = None, co
     """All records of the ranges on the clock (columns EVENTS): timers with the scanners' place for each beam, AOD settings, tags with
     their period, photons of both colours with their phase.
 
-    Timers lie STEP ticks apart between the first timers of complete counters, and of any if none near is complete.  absolute: whether tags give their time or the
-    interval since the last one; None tells by how much they scatter in each range.  `matched` is false where no timer
-    near agrees with a record's low bits.  A range without timers near it gives nothing.
+    Timers lie STEP ticks apart between the first timers of complete counters, and of any if none near is complete.  absolute: whether tags
+    give their time or the interval since the last one; None tells by how much they scatter in each file.  Intervals are added up over
+    the file and set on the clock counter by counter (`clocks`).  `matched` is false where no timer near agrees with a
+    record's low bits; its time lies between those of the records beside it.  A range without timers near it gives nothing.
     """
     from functools import partial
 
-    ranges_ = indexed.groupBy("file", "range").agg(F.min("first").alias("number"), F.min("counter").alias("low"), F.max("counter").alias("high"))
-    c = counters(indexed, complete)
+    one = [F.max(x).alias(x) for x in ("start1", "start2", "absolute1", "absolute2")]
+    ranges_ = indexed.groupBy("file", "range").agg(F.min("first").alias("number"), F.min("counter").alias("low"), F.max("counter").alias("high"), *one)
     need = ranges_.where("low is not null").select("file", "range", F.explode(F.sequence(F.col("low") - 1, F.col("high") + 2)).alias("counter"))
-    near = need.join(c, ["file", "counter"]).select("file", "range", "complete", "first", (F.col("counter") * COUNTER).alias("tick"))
-    line = F.struct("first", "tick")
-    known = near.groupBy("file", "range").agg(F.collect_list(F.when(F.col("complete"), line)).alias("_c"), F.collect_list(line).alias("_a"))  # a handful
-    known = known.select("file", "range", F.when(F.size("_c") > 0, F.col("_c")).otherwise(F.col("_a")).alias("known"))
-    rows = cut.join(ranges_.select("file", "range", "number"), ["file", "range"], "left").join(known, ["file", "range"], "left")
+    line = F.struct("first", (F.col("counter") * COUNTER).alias("tick"), "complete", "shift1", "shift2")
+    known = need.join(clocks(indexed, complete), ["file", "counter"]).groupBy("file", "range").agg(F.collect_list(line).alias("known"))  # a handful
+    rows = cut.join(ranges_.drop("low", "high"), ["file", "range"], "left").join(known, ["file", "range"], "left")
     return rows.mapInArrow(partial(_decode, absolute), EVENTS)
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import curves, grid, nonrigid
-from .catalog import _P, _points, query
+from ..operators import curves, grid, nonrigid, registration
+from .catalog import _P, _points, _t, query
 
 _ROUNDS = 3
 
@@ -66,3 +66,13 @@ def free_form_fit(spark, sf_dir):
     seen = p.groupBy("x", "y", "z").agg(F.count("*").alias("n"))
     nodes, value = nonrigid.bent_volume(seen, ("x", "y", "z"), _template(spark, sf_dir), [(4, 3, 3)], "n", steps=8)
     return nodes.withColumn("value", F.lit(value))
+
+
+@query()
+def registered_frames(spark, sf_dir):
+    """Poses of frames, the months of delivery, to the prices' template: segments of a year, joined where they overlap."""
+    c = F.col
+    months = F.months_between(F.trunc("l_shipdate", "month"), F.lit("1992-01-01").cast("date")).cast("long")
+    p = _t(spark, sf_dir, "lineitem").select(months.alias("frame"), (c("l_quantity") - 1).alias("x"), (c("l_discount") * 100).alias("y"), (c("l_tax") * 100).alias("z"))
+    out, _ = registration.stitched(p, "frame", ("x", "y", "z"), _template(spark, sf_dir), width=12, half=2)
+    return out

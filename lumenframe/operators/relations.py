@@ -149,6 +149,41 @@ def spread_peaks(peaks: DataFrame, keys: list[str], t: str, height: str, apart:
     return kept.withColumn("_r", r).where(F.col("_r") <= most).drop("_r")
 
 
+def greedy_peaks(peaks: DataFrame, keys: list[str], t: str, height: str, apart: float, most: int | None = None, span: int = 64) -> DataFrame:
+    """Peaks as they are left when the highest (the earliest of equal ones) takes all others within `apart` off, then the next, and so on;
+    `most` highest of each key at most.  Rows with a null time or height, or of equal time and height but one, are left out.
+
+    Rounds, not an order: in each, every peak that is the highest of those still open around it stays, and what is within reach of one that
+    stays goes.  A round is two windows over parts of the time of `span` reaches, with halos, so a key is as many tasks as it has parts;
+    there are as many rounds as the longest chain of peaks each higher than the one before, some tens in random data.
+    """
+    from ..functions.shared import kept
+
+    some = peaks.where(F.col(t).isNotNull() & F.col(height).isNotNull()).dropDuplicates([*keys, t, height])
+    state = kept(some.withColumn("_stays", F.lit(None).cast("boolean")))
+    part = F.floor(F.col(t) / (span * apart))
+    order = F.struct(F.col(height).alias("h"), (-F.col(t)).alias("m"))
+    reach, along = (int(apart), F.col(t)) if float(apart).is_integer() else (1, F.col(t) / apart)  # frames are of whole numbers
+
+    def around(what, name):
+        """state with the greatest of `what` within reach of each row; halos are other parts' rows."""
+        cut = state.withColumn("_part", F.explode(F.array_distinct(F.array(F.floor((F.col(t) - apart) / (span * apart)), part, F.floor((F.col(t) + apart) / (span * apart))))))
+        w = Window.partitionBy(*keys, "_part").orderBy(along).rangeBetween(-reach, reach)
+        return cut.withColumn(name, F.max(what).over(w)).where(F.col("_part") == part).drop("_part")
+
+    while not state.where("_stays is null").isEmpty():
+        state = around(F.when(F.col("_stays").isNull(), order), "_best")
+        wins = F.col("_stays").isNull() & (F.col("_best") == order)
+        state = state.withColumn("_wins", wins).drop("_best")
+        state = around(F.col("_wins"), "_near")
+        state = kept(state.withColumn("_stays", F.when(F.col("_wins"), True).when(F.col("_stays").isNull() & F.col("_near"), False).otherwise(F.col("_stays"))).drop("_wins", "_near"))
+    out = state.where("_stays").drop("_stays")
+    if most is None:
+        return out
+    r = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(height), t))
+    return out.withColumn("_r", r).where(F.col("_r") <= most).drop("_r")
+
+
 # ---------------------------------------------------------------- flags of frames
 
 

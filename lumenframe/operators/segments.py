@@ -105,6 +105,9 @@ def step_report(series: DataFrame, keys: list[str], number: str, order: list[str
     )
 
 
+PIECE = 1 << 12  # numbers that a gap's array holds at most
+
+
 def missing_counters(seen: DataFrame, counter: str, spans: int | None = None) -> DataFrame:
     """Counters between the first and the last that no row has: each gap is filled where it is, part of the range by part."""
     each = seen.select(F.col(counter).cast("long").alias(counter)).where(F.col(counter).isNotNull()).distinct()
@@ -113,7 +116,12 @@ def missing_counters(seen: DataFrame, counter: str, spans: int | None = None) ->
     ends = each.groupBy("_span").agg(F.max(counter).alias("_last"))
     ends = ends.select(F.col("_span").alias("_s"), F.lag("_last").over(Window.orderBy("_span")).alias("_before"))  # a line a part
     rows = each.join(ends, F.col("_span") == F.col("_s")).withColumn("_p", F.coalesce(F.lag(counter).over(Window.partitionBy("_span").orderBy(counter)), "_before"))
-    return rows.where(F.col(counter) - F.col("_p") > 1).select(F.explode(F.sequence(F.col("_p") + 1, F.col(counter) - 1)).alias(counter))
+    gaps = rows.where(F.col(counter) - F.col("_p") > 1).select((F.col("_p") + 1).alias("_a"), (F.col(counter) - 1).alias("_b"))
+    # a long gap is cut, and its pieces are dealt out, before any array is made
+    gaps = gaps.select("_a", "_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_b") - F.col("_a")) / PIECE**2))).alias("_i")).select((F.col("_a") + F.col("_i") * PIECE**2).alias("_a"), "_b")
+    gaps = gaps.select("_a", F.least("_b", F.col("_a") + PIECE**2 - 1).alias("_b")).repartition(spans)
+    gaps = gaps.select("_a", "_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_b") - F.col("_a")) / PIECE))).alias("_i")).select((F.col("_a") + F.col("_i") * PIECE).alias("_a"), "_b")
+    return gaps.select(F.explode(F.sequence(F.col("_a"), F.least("_b", F.col("_a") + PIECE - 1))).alias(counter))
 
 
 def strongest_two(events: DataFrame, t: str, value: str, tie: str, apart: float) -> DataFrame:

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import estimators, stats, temporal, volumes
+from . import estimators, parts, stats, temporal, volumes
 
 PADS = ("ends", "zeros", "linear", "circular", "mirror")
 
@@ -146,27 +146,9 @@ def upsampled_circular(df: DataFrame, keys: list[str], index: str, value: str, n
 
 
 def spectrum(df: DataFrame, keys: list[str], index: str, value: str, n: int, dt: float) -> DataFrame:
-    """Welch's power spectrum: Hann-windowed parts of n samples, half over each other, each transformed on its own and averaged:
-    keys, frequency, power.  A sample belongs to two parts, which are groups of n rows whatever the recording's length."""
-    import numpy as np
-    import pandas as pd
-
-    half = n // 2
-    at = F.floor(F.col(index) / half)
-    parts = df.where(F.col(value).isNotNull()).select(*keys, F.col(index).alias("_i"), F.col(value).cast("double").alias("_v"), F.explode(F.array(at - 1, at)).alias("_part")).where("_part >= 0")
-    kinds = dict(parts.dtypes)
-
-    def one(p):
-        if len(p) < n:
-            return pd.DataFrame({**{k: p[k][:0] for k in keys}, "f": np.zeros(0, np.int64), "power": np.zeros(0)})
-        x = p.sort_values("_i")["_v"].to_numpy()[:n]
-        w = np.hanning(n)
-        s = np.abs(np.fft.rfft((x - x.mean()) * w)) ** 2 * dt / (w**2).sum()
-        s[1 : -1 if n % 2 == 0 else None] *= 2
-        return pd.DataFrame({**{k: [p[k].iloc[0]] * len(s) for k in keys}, "f": np.arange(len(s)), "power": s})
-
-    each = parts.groupBy(*keys, "_part").applyInPandas(one, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "f long, power double"]))
-    return each.groupBy(*keys, (F.col("f") / (n * dt)).alias("frequency")).agg(F.avg("power").alias("power"))
+    """Welch's power spectrum: Hann-windowed stretches of n samples, half over each other, each transformed on its own and averaged:
+    keys, frequency, power; see `parts.welch`."""
+    return parts.welch(df, keys, index, value, n, dt)
 
 
 # ---------------------------------------------------------------- images

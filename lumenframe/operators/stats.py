@@ -6,33 +6,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def nearest_rank(value: str, p: float) -> Column:
-    """The value at rank round(p n), held within 1 and n, of the finite values; null if there is none."""
-    s = F.sort_array(F.collect_list(value))
-    k = F.greatest(F.lit(1), F.least(F.size(s), F.round(F.lit(p) * F.size(s)).cast("int")))
-    return F.when(F.size(s) > 0, F.get(s, k - 1))
+BINS = 1024
 
 
-def nearest_rank_by(df: DataFrame, keys: list[str], value: str, p: float, out: str) -> DataFrame:
-    """The same by counting values first: no group is collected, equal values are one row."""
+def at_places(df: DataFrame, keys: list[str], value: str, places: dict[str, Column], rounds: int = 2) -> DataFrame:
+    """keys, `_n`, the number of values that are not null, and of each place (a column of `_n`, from 1, held within 1 and `_n`) the value there in order.
+
+    No key is sorted in one task: each round counts the values in BINS equal bins between the least and the greatest that are left and goes on
+    with the bin that holds the place, which two rounds make a millionth of the range; equal values there are one row.  nan is not a value.
+    """
+    from functools import reduce
+
     from pyspark.sql import Window
 
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys)
-    counts = counts.withColumn("_upto", F.sum("_n").over(w.orderBy(value))).withColumn("_all", F.sum("_n").over(w))
-    k = F.greatest(F.lit(1), F.least(F.col("_all"), F.round(F.lit(p) * F.col("_all")).cast("long")))
-    return counts.where(F.col("_upto") >= k).groupBy(*keys).agg(F.min(value).alias(out))
+    v = F.col(value).cast("double")
+    some = df.where(F.col(value).isNotNull() & ~F.isnan(v)).select(*keys, F.col(value).alias("_value"), v.alias("_v"))
+    spans = some.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    k = [F.struct(F.lit(name).alias("_name"), F.greatest(F.lit(1), F.least(F.col("_n"), p.cast("long"))).alias("_k")) for name, p in places.items()]
+    # of each key and place: the range that holds it, and its place in there
+    left = spans.select(*keys, "_n", "_low", "_high", F.inline(F.array(*k)))
+    hit = lambda t, what: t.join(what, keys) if keys else t.join(F.broadcast(what), how="cross")  # noqa: E731  (a row a place)
+    inside = F.col("_v").between(F.col("_low"), F.col("_high"))
+    cell = F.least(F.lit(BINS - 1), F.floor(F.coalesce(F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0)) * BINS)).cast("int")
+    for _ in range(rounds):
+        cells = hit(some, left).where(inside).groupBy(*keys, "_name", cell.alias("_cell")).agg(F.count("*").alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+        w = Window.partitionBy(*keys, "_name").orderBy("_cell")  # BINS rows at most
+        cells = cells.withColumn("_before", F.sum("_c").over(w) - F.col("_c"))
+        both = cells.join(left.select(*keys, "_name", "_n", "_k"), [*keys, "_name"]).where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_c")))
+        left = both.select(*keys, "_n", F.col("_a").alias("_low"), F.col("_b").alias("_high"), "_name", (F.col("_k") - F.col("_before")).alias("_k"))
+    same = hit(some, left).where(inside).groupBy(*keys, "_name", "_n", "_k", "_value").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys, "_name").orderBy("_value")
+    found = same.withColumn("_upto", F.sum("_c").over(w)).where(F.col("_upto") >= F.col("_k")).groupBy(*keys, "_name", "_n").agg(F.min("_value").alias("_value"))
+    each = [found.where(F.col("_name") == name).select(*keys, "_n", F.col("_value").alias(name)) for name in places]
+    return reduce(lambda a, b: a.join(b, [*keys, "_n"]), each)
+
+
+def nearest_rank_by(df: DataFrame, keys: list[str], value: str, p: float, out: str) -> DataFrame:
+    """The value at rank round(p n), held within 1 and n, of the values that are not null."""
+    return at_places(df, keys, value, {out: F.round(F.lit(p) * F.col("_n"))}).drop("_n")
 
 
 def hazen(df: DataFrame, keys: list[str], value: str, p: float, out: str) -> DataFrame:
     """Percentile with knots at (k - 0.5) / n and straight lines between them, clamped at the ends."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys)
-    r = df.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
     x = F.greatest(F.lit(1.0), F.least(F.col("_n").cast("double"), F.lit(p) * F.col("_n") + 0.5))
-    weight = F.greatest(F.lit(0.0), 1 - F.abs(F.col("_k") - x))
-    return r.groupBy(*keys).agg(F.sum(weight * F.col(value)).alias(out))
+    got = at_places(df, keys, value, {"_lower": F.floor(x), "_upper": F.floor(x) + 1})
+    part = x - F.floor(x)
+    return got.select(*keys, ((1 - part) * F.col("_lower") + part * F.col("_upper")).alias(out))
 
 
 def mode_smallest(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:

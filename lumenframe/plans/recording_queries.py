@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import scratch
-from ..sources import decode, encode
-from .catalog import _events, query
+from ..sources import decode, encode, fixed
+from .catalog import _events, _t, query
 
 _TICK = "r AS (SELECT event_id * 65536 + (user_id * 7919) % 65536 AS tick, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 ELSE 1 END AS color FROM events)"
 
@@ -50,3 +50,16 @@ def raw_intervals(spark, sf_dir):
     off = F.abs(F.col("tick") - (F.col("counter") * decode.COUNTER + encode.LATE + F.col("i") * (decode.STEP // encode.TAGS)))
     found = tags.select("file", "tick", "i").join(c.select("file", "counter"), "file").groupBy("file").agg(F.count("*").alias("tags"), F.count_if(off > decode.STEP // 2).alias("far"))
     return c.join(found, "file").drop("file")
+
+
+@query("""WITH p AS (SELECT l_quantity AS x, l_discount AS y, l_tax AS z, l_extendedprice AS d, CAST(l_orderkey AS DOUBLE) AS o, CAST(l_linenumber AS DOUBLE) AS n FROM lineitem)
+SELECT x, count(*) AS n, round(sum(d), 2) AS total, round(sum(o + n), 0) AS keys, round(max(y + z), 6) AS top FROM p WHERE x >= 20 AND d < 60000 GROUP BY x""")
+def raw_points(spark, sf_dir):
+    """Points written as six raw doubles a row, and read again in ranges of 4,096 rows."""
+    c = F.col
+    names = ["x", "y", "z", "d", "o", "n"]
+    p = _t(spark, sf_dir, "lineitem").select(c("l_quantity").alias("x"), c("l_discount").alias("y"), c("l_tax").alias("z"), c("l_extendedprice").alias("d"), c("l_orderkey").alias("o"), c("l_linenumber").alias("n"))
+    path = scratch(spark, "points")
+    fixed.write_doubles(p, path, names)
+    back = fixed.doubles(spark, path, names, rows=4096).where((c("x") >= 20) & (c("d") < 60000))
+    return back.groupBy("x").agg(F.count("*").alias("n"), F.round(F.sum("d"), 2).alias("total"), F.round(F.sum(c("o") + c("n")), 0).alias("keys"), F.round(F.max(c("y") + c("z")), 6).alias("top"))

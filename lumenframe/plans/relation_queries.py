@@ -129,6 +129,15 @@ def spread_peaks(spark, sf_dir):
     return relations.spread_peaks(d, ["event_type"], "k", "v", 3, 40)
 
 
+@query(f"""WITH RECURSIVE {_E}, h AS (SELECT event_type, CAST(floor(t / 3600000000.0) AS BIGINT) AS k, max(value) AS v FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY v DESC, k) AS n FROM h WHERE v IS NOT NULL),
+g AS (SELECT event_type, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept FROM r GROUP BY 1 UNION ALL SELECT g.event_type, r.n, CASE WHEN len(list_filter(g.kept, lambda x: abs(x - r.k) <= 5)) = 0 THEN list_append(g.kept, r.k) ELSE g.kept END FROM g JOIN r ON r.event_type = g.event_type AND r.n = g.n + 1),
+f AS (SELECT event_type, unnest(arg_max(kept, n)) AS k FROM g GROUP BY 1) SELECT event_type, k, round(v, 4) AS v FROM f JOIN h USING (event_type, k) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY v DESC, k) <= 40""")
+def greedy_peaks(spark, sf_dir):
+    """The forty highest hours of each type, none within five hours of a higher one that is left."""
+    h = _events(spark, sf_dir).groupBy("event_type", F.floor(F.col("t") / 3600000000.0).cast("long").alias("k")).agg(F.max("value").alias("v"))
+    return relations.greedy_peaks(h, ["event_type"], "k", "v", 5, 40).select("event_type", "k", F.round("v", 4).alias("v"))
+
+
 # ---------------------------------------------------------------- flags
 
 _FLAGS = "g AS (SELECT conv_id * 1000 + turn AS frame, role AS state, turn % 2 = 0 AS on FROM conversations)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import elastic, grid, series, temporal
+from ..operators import elastic, grid, parts, series, temporal
 from .catalog import _BINS, _DAILY, _E, _P, _W, AXES, _daily, _events, _points, _t, query
 
 
@@ -187,6 +187,32 @@ def predicate_functions(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("f")).agg(F.bool_or(F.col("l_tax") > 0.07).alias("some"), F.bool_and(F.col("l_quantity") > 0).alias("every"), F.count_if(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).alias("finite"))
 
 
+# ---------------------------------------------------------------- series in parts
+
+
+@query(_filter_sql(temporal.gauss_kernel(1.0), "ends", "smooth"))
+def lowpass_in_parts(spark, sf_dir):
+    """The low-pass that holds end values, in parts of eight samples."""
+    d = series.numbered(_daily(spark, sf_dir), ["event_type"], ["k"])
+    got = parts.filtered(d, ["event_type"], "_i", "v", temporal.gauss_kernel(1.0), "smooth", 8)
+    return d.join(got, ["event_type", "_i"]).select("event_type", "k", F.round("smooth", 5).alias("smooth"))
+
+
+@query()
+def band_limited(spark, sf_dir):
+    """Each type's values by time, at steps of two hours."""
+    e = _events(spark, sf_dir).groupBy("event_type", (F.col("t") / 3.6e9).alias("t")).agg(F.avg("value").alias("v"))
+    span = e.groupBy("event_type").agg(F.ceil(F.min("t")).cast("double").alias("start"), F.lit(2.0).alias("step"), F.floor((F.max("t") - F.min("t")) / 2).cast("long").alias("count"))
+    return parts.band_limited(e, ["event_type"], "t", "v", span).withColumn("v", F.round("v", 4))
+
+
+@query()
+def shot_spectrum(spark, sf_dir):
+    """Spectrum of all events' hourly numbers and of counts drawn at their mean rate."""
+    e = _events(spark, sf_dir).groupBy(F.floor(F.col("t") / 3.6e9).cast("long").alias("i")).agg(F.count("*").cast("double").alias("rate")).withColumn("k", F.lit("all"))
+    return parts.shot_noise(e.withColumn("i", F.col("i") - 473352), ["k"], "i", "rate", 1.0, 48).select("k", F.round("frequency", 6).alias("frequency"), F.round("power", 8).alias("power"), F.round("shot", 8).alias("shot"))
+
+
 # ---------------------------------------------------------------- elastic alignment
 
 

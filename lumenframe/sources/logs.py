@@ -31,8 +31,22 @@ def commands(log: DataFrame, names: dict[int, str] | None = None) -> DataFrame:
     return log.withColumn("command", F.try_element_at(F.create_map(*pairs), F.col("code").cast("int")))
 
 
+def command_times(log: DataFrame, t: str) -> DataFrame:
+    """A row for each time of each command: command, its place from 0 by time, and the time; all of them, however many.
+
+    Places are counted in days first, so that a command's times are not one task's.
+    """
+    day = F.floor(F.col(t) / 86400)
+    some = log.where(F.col("command").isNotNull() & F.col(t).isNotNull()).withColumn("_day", day)
+    days = some.groupBy("command", "_day").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("command").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")  # a row a day
+    own = F.row_number().over(Window.partitionBy("command", "_day").orderBy(t)) - 1
+    return some.withColumn("_own", own).join(days, ["command", "_day"]).select("command", (F.col("_before") + F.col("_own")).alias("place"), t)
+
+
 def command_summary(log: DataFrame, t: str, most: int = 1000) -> DataFrame:
-    """Of each command how often it came, first and last time, and a line of text with its first times (`most` at the most)."""
+    """Of each command how often it came, first and last time, and a line of text with its first times (`most` at the most; `command_times` has all)."""
     r = F.row_number().over(Window.partitionBy("command").orderBy(t))
     g = log.where("command is not null").withColumn("_r", r).groupBy("command")
     times = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_r") <= most, F.col(t)))), lambda x: x.cast("string")), " ")

@@ -88,3 +88,35 @@ def match_by_length(found: DataFrame, wanted: Column | int, keys: list[str], sha
     off = F.abs(F.col("n") - length) / length
     close = found.withColumn("_off", off).where(F.col("_off") < share)
     return close.groupBy(*keys).agg(F.min_by(F.struct("segment", "n", "first", "last"), F.struct("_off", "segment")).alias("_b")).select(*keys, "_b.*")
+
+
+#: Fixed names: the nine values of a row of the older tracker's files, in their order.
+OLD_TRACKER = ["ax", "pos", "vel", "perr", "status", "gphoton", "rphoton", "et", "mstimer"]
+
+
+def old_tracker(spark: SparkSession, path: str, gap: float = 0.001) -> DataFrame:
+    """The older tracker's text files: file, spot and axis (0 to 2) of each row's channel, its values, `innovation` (position error per photon) and `tracking`.
+
+    Rows whose time does not rise from the row before them go.  Tracking is the status' second bit; of a file whose status says something but never
+    that, the longest stretch of channel 1 whose samples are less than `gap` apart, its ends left out.  Where any row of a file is
+    tracked, spots that never are go.  Lines without nine numbers are left out; a file is one task.
+    """
+    line = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("a"), F.monotonically_increasing_id().alias("b")).alias("_at"), F.split(F.trim("value"), r"[\s,]+").alias("_v"))
+    rows = line.where(F.size("_v") == len(OLD_TRACKER)).select("file", "_at", *(F.expr(f"try_cast(_v[{i}] as double)").alias(c) for i, c in enumerate(OLD_TRACKER))).dropna()
+    by = Window.partitionBy("file")
+    before = F.lag("et").over(by.orderBy("_at"))
+    rows = rows.withColumn("_p", before).where(F.col("_p").isNull() | (F.col("et") > F.col("_p"))).drop("_p")
+    rows = rows.withColumn("tracking", F.col("status").cast("long").bitwiseAND(2) != 0)
+    files = rows.groupBy("file").agg(F.max(F.col("status") != 0).alias("_says"), F.max("tracking").alias("_ever"))
+    # the stretch to fall back on: runs of close samples of channel 1
+    one = rows.where("ax = 1").withColumn("_d", F.col("et") - F.lag("et").over(by.orderBy("et"))).withColumn("_run", F.count_if(F.col("_d").isNull() | (F.col("_d") >= gap)).over(by.orderBy("et")))
+    runs = one.groupBy("file", "_run").agg(F.min("et").alias("_a"), F.max("et").alias("_b"), F.count("*").alias("_n")).where("_n > 1")
+    longest = runs.groupBy("file").agg(F.max_by(F.struct("_a", "_b"), F.struct("_n", (-F.col("_a")).alias("m"))).alias("_s"))
+    rows = rows.join(files, "file").join(longest, "file", "left")
+    fall = F.col("_says") & ~F.col("_ever")
+    inside = F.coalesce((F.col("et") > F.col("_s._a")) & (F.col("et") < F.col("_s._b")), F.lit(False))
+    rows = rows.withColumn("tracking", F.when(fall, inside).otherwise(F.col("tracking")))
+    rows = rows.withColumns({"spot": F.floor(F.col("ax") / 3).cast("int"), "axis": (F.col("ax") % 3).cast("int"), "innovation": F.try_divide("perr", F.col("gphoton") + F.col("rphoton"))})
+    spot, whole = F.max("tracking").over(Window.partitionBy("file", "spot")), F.max("tracking").over(by)
+    rows = rows.withColumns({"_mine": spot, "_any": whole}).where("_mine or not _any")
+    return rows.select("file", "spot", "axis", *OLD_TRACKER[1:], "innovation", "tracking")

@@ -74,3 +74,20 @@ def test_along_heading_and_scan_lag(spark):
     assert acquisition.scan_lag(lambda x: -((x - 0.37) ** 2), [i / 10 for i in range(11)]) == pytest.approx(0.37, abs=1e-3)
     assert acquisition.regular_axis([3.0, 1.0, 2.0, 2.0], centres=True) == (0.5, 1.0, 3)
     assert binning.moved_sphere((1, 0, 0), 2.0, [[2, 0, 0, 1], [0, 2, 0, 0], [0, 0, 2, 0]]) == ((3, 0, 0), pytest.approx(4.0))
+
+
+def test_values_at_places_by_sorting(spark):
+    rng = np.random.default_rng(9)
+    from lumenframe.operators import stats
+
+    values = {"a": np.exp(rng.normal(0, 4, 3000)), "b": np.repeat([1.5, 2.0, 2.0, 7.0], 50), "c": np.array([3.0]), "d": rng.normal(size=501) * 1e-9 + 5}
+    rows = [(k, float(v)) for k, x in values.items() for v in x] + [("a", None), ("e", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    for p in (0.0, 0.31, 0.5, 0.99, 1.0):
+        near, line = stats.nearest_rank_by(df, ["k"], "v", p, "q").collect(), {r.k: r.q for r in stats.hazen(df, ["k"], "v", p, "q").collect()}
+        assert {r.k for r in near} == set(values)
+        for r in near:
+            x = np.sort(values[r.k])
+            assert r.q == x[max(1, min(len(x), int(np.floor(p * len(x) + 0.5)))) - 1]
+            assert line[r.k] == pytest.approx(np.interp(p, (np.arange(len(x)) + 0.5) / len(x), x), rel=1e-12)
+    assert stats.nearest_rank_by(df.where("k = 'b'"), [], "v", 0.5, "q").first().q == 2.0

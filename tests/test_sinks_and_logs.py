@@ -54,3 +54,10 @@ def test_logs(spark, tmp_path):
     assert (r.nx, r.ny, r.nz) == (50, 7, 1)
     assert [(r.frame, r.t0, r.t1) for r in logs.frame_edges(spark, 1.0, 2.6, 0.5).collect()] == [(0, 1.0, 1.5), (1, 1.5, 2.0), (2, 2.0, 2.5)]
     assert logs.newest(spark, str(tmp_path / "x.json")).collect()[0].length > 50
+
+
+def test_all_times_of_a_command_in_order(spark):
+    rows = [("stim", float(86400 * (i % 5) + i), 1) for i in range(3000)] + [("stop", 3.0, 1), (None, 1.0, 1), ("stop", None, 1)]
+    got = logs.command_times(spark.createDataFrame(rows, "command string, t double, x int").repartition(3), "t").orderBy("command", "place").collect()
+    stim = [r for r in got if r.command == "stim"]
+    assert [r.place for r in stim] == list(range(3000)) and [r.t for r in stim] == sorted(t for c, t, _ in rows if c == "stim") and len(got) == 3001

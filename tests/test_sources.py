@@ -39,7 +39,7 @@ def test_unwrapped_phase_and_percentile(spark):
     df = spark.createDataFrame([(0, float(i), (i * 1.0 + 3.141592653589793) % (2 * 3.141592653589793) - 3.141592653589793) for i in range(20)], "k int, t double, p double")
     got = [r.u for r in temporal.unwrap_phase(df, ["k"], ["t"], "p", "u").orderBy("t").collect()]
     assert all(abs(b - a - 1) < 1e-9 for a, b in zip(got, got[1:]))
-    assert stats.nearest_rank_by(df, ["k"], "t", 0.25, "q").first().q == 4.0 == df.groupBy("k").agg(stats.nearest_rank("t", 0.25).alias("q")).first().q
+    assert stats.nearest_rank_by(df, ["k"], "t", 0.25, "q").first().q == 4.0
 
 
 def test_estimators_recover_what_is_known():

@@ -1,7 +1,7 @@
 import pytest
 from oracle import agree
 
-from lumenframe.plans import acquisition_queries, behaviour_queries, binning_queries, catalog, fit_queries, hull_queries, recording_queries, relation_queries, segment_queries, series_queries  # noqa: F401
+from lumenframe.plans import acquisition_queries, behaviour_queries, binning_queries, catalog, fit_queries, hull_queries, image_queries, recording_queries, relation_queries, segment_queries, series_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

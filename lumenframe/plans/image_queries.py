@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import images
+from ..operators import blocks, images
 from .catalog import _t, query
 
 
@@ -34,3 +34,10 @@ def frame_shifts(spark, sf_dir):
 def bright_spots(spark, sf_dir):
     """The centre of the largest bright region of each month's image."""
     return images.bright_spots(_months(spark, sf_dir).withColumn("k", F.lit(1)), ["k"], "frame", {"x": 50, "y": 11}, "v", 0.9).drop("k")
+
+
+@query()
+def smoothed_movie(spark, sf_dir):
+    """Prices over places by month, smoothed in blocks."""
+    m = _months(spark, sf_dir).where("frame % 12 = 0").groupBy("frame", "x", "y").agg(F.sum("v").alias("counts"), F.count("*").alias("dwell"))
+    return blocks.smoothed_movie(m, {"x": 50, "y": 11}, "frame", "rate", 0.5, block=16, halo=4).withColumn("v", F.round("v", 2))

@@ -209,8 +209,10 @@ def band_limited(spark, sf_dir):
 @query()
 def shot_spectrum(spark, sf_dir):
     """Spectrum of all events' hourly numbers and of counts drawn at their mean rate."""
-    e = _events(spark, sf_dir).groupBy(F.floor(F.col("t") / 3.6e9).cast("long").alias("i")).agg(F.count("*").cast("double").alias("rate")).withColumn("k", F.lit("all"))
-    return parts.shot_noise(e.withColumn("i", F.col("i") - 473352), ["k"], "i", "rate", 1.0, 48).select("k", F.round("frequency", 6).alias("frequency"), F.round("power", 8).alias("power"), F.round("shot", 8).alias("shot"))
+    e = _events(spark, sf_dir).groupBy(F.floor(F.col("t") / 3.6e9).cast("long").alias("hour")).agg(F.count("*").cast("double").alias("n"))
+    hours = e.agg(F.min("hour").alias("first"), F.max("hour").alias("last")).select("first", F.explode(F.sequence("first", "last")).alias("hour"))
+    every = hours.join(e, "hour", "left").select(F.lit("all").alias("k"), (F.col("hour") - F.col("first")).alias("i"), F.coalesce("n", F.lit(0.0)).alias("rate"))
+    return parts.shot_noise(every, ["k"], "i", "rate", 1.0, 48).select("k", F.round("frequency", 6).alias("frequency"), F.round("power", 8).alias("power"), F.round("shot", 8).alias("shot"))
 
 
 # ---------------------------------------------------------------- elastic alignment

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
+from ..functions.shared import reachable
 from ..operators import estimators, geometry, grid, stats, temporal
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -40,6 +41,7 @@ def rate_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
+EDGES = 1024  # edges in a file of a round's checkpoint, about: where Hadoop has no native library, each file and its checksum start a process
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
@@ -32,9 +34,10 @@ def components(edges: DataFrame) -> DataFrame:
     c.shared_dir(edges.sparkSession)
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where((F.col("a") != F.col("b")) & F.col("a").isNotNull() & F.col("b").isNotNull()).distinct()
     edges = edges.checkpoint()
+    files = max(1, -(-edges.count() // EDGES))  # a round never has more edges than the one before
     while True:
         # Done when every edge leads to a root: no node is at both ends, and no node has two edges.
         loose = edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi").select("a").unionByName(edges.groupBy("a").count().where("count > 1").select("a"))
         if loose.isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        edges = _star(_star(edges, True), False).checkpoint()
+        edges = _star(_star(edges, True), False).coalesce(files).checkpoint()

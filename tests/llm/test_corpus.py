@@ -127,6 +127,22 @@ def test_no_link_of_a_hundredth_of_the_documents_is_lost(spark):
     assert len(links) > 10 and all(got[x] == got[y] for x, y in links)
 
 
+def test_rounds_of_components_make_few_files(spark, monkeypatch):
+    frame, files, conf = type(spark.range(0)), [], {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    plain = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *how: files.append((out := plain(self, *how)).rdd.getNumPartitions()) or out)
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = components.components(spark.createDataFrame([(f"{i:02}", f"{i + 1:02}") for i in range(40)], "a string, b string")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 1 and set(files[1:]) == {1}
+    assert {r.node: r.component for r in got} == {f"{i:02}": "00" for i in range(41)}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(40)] + [("s", f"t{i}") for i in range(30)] + [("x", "x"), (None, "y")]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a string, b string")).collect()}

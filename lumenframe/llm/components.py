@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     c.shared_dir(edges.sparkSession)
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where((F.col("a") != F.col("b")) & F.col("a").isNotNull() & F.col("b").isNotNull()).distinct()
-    edges = edges.checkpoint()
+    with c.gathered(edges) as few:
+        edges = few.checkpoint()
     files = max(1, -(-edges.count() // EDGES))  # a round never has more edges than the one before
     while True:
         # Done when every edge leads to a root: no node is at both ends, and no node has two edges.

@@ -320,16 +320,20 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     told = reps.unionByName(found, allowMissingColumns=True)
     rows = by_chunk.cogroup(c.dealt(told).groupBy("chunk")).applyInArrow(partial_arrow(_members, text, n, num, den, order, many), _LIGHT)
     rows = rows.repartition(c.partitions(spark), "grp", F.when(F.col("grp").isNull(), F.col("node"))).sortWithinPartitions("grp")
-    light = c.stored(rows.mapInArrow(partial(_possible, num, den), _LIGHT), "jaccard-candidates")
-    candidates = components(light.where("kind = 'edge'").select(F.col("node").alias("a"), F.col("other").alias("b"))).where("node not like 'g%'").checkpoint()
+    with c.gathered(rows.mapInArrow(partial(_possible, num, den), _LIGHT)) as few:
+        light = c.stored(few, "jaccard-candidates")
+    with c.gathered(components(light.where("kind = 'edge'").select(F.col("node").alias("a"), F.col("other").alias("b"))).where("node not like 'g%'")) as few:
+        candidates = few.checkpoint()
     members = candidates.groupBy("component").agg(F.count("*").alias("members"))
     want = candidates.join(members.where("members > 1"), "component").select("node", F.col("component").alias("grp"), "members", c.chunk_of(chunks, "node").alias("chunk"))
     sets = by_chunk.cogroup(c.dealt(want).groupBy("chunk")).applyInArrow(partial_arrow(_sets, text, n, block), _ROWS)
-    joined = c.stored(_linked(sets, num, den), "jaccard-links")
+    with c.gathered(_linked(sets, num, den), "tokens") as few:
+        joined = c.stored(few, "jaccard-links")
     parts = components(joined.where("kind = 'link'").select(F.col("node").alias("a"), F.col("other").alias("b")))
     big = joined.where("kind = 'member'")
     if not big.isEmpty():
-        parts = parts.checkpoint()
+        with c.gathered(parts) as few:
+            parts = few.checkpoint()
         late = _stragglers(big, parts, num, den, block).where("kind = 'link'").select(F.col("node").alias("a"), F.col("other").alias("b"))
         parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
     sizes = light.where("kind = 'size'").select("node", F.col("n").alias("n_shingles"))

@@ -8,7 +8,7 @@ from itertools import combinations
 import pytest
 from oracle import agree
 
-from lumenframe.llm import components, decontamination, jaccard_join, mixing, pii, quality_classifier, quality_rules, quotes, registry, substring_dedup, url_filter, warc
+from lumenframe.llm import common, components, decontamination, jaccard_join, mixing, pii, quality_classifier, quality_rules, quotes, registry, substring_dedup, url_filter, warc
 
 SF = "/root/testdata/sf0.001"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -143,6 +143,26 @@ def test_rounds_of_components_make_few_files(spark, monkeypatch):
     assert {r.node: r.component for r in got} == {f"{i:02}": "00" for i in range(41)}
 
 
+def test_jaccard_join_writes_small_tables_in_few_files(spark, monkeypatch):
+    frame, files, conf = type(spark.range(0)), {}, {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    plain, stored = frame.checkpoint, common.stored
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *how: files.setdefault(f"checkpoint {len(files)}", (out := plain(self, *how)).rdd.getNumPartitions()) and out)
+    monkeypatch.setattr(common, "stored", lambda df, name, *how: files.setdefault(name, len((out := stored(df, name, *how)).inputFiles())) and out)
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    rows = [(i, " ".join(f"w{k}" for k in range(40)) + f" e{i}") for i in range(30)] + [(i, f"a{i} b{i} c{i} d{i}") for i in range(30, 60)]
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()  # one family of several blocks
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"jaccard-candidates", "jaccard-links"} < set(files) and set(files.values()) == {1}
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= kept
+    assert sorted(r.component_id for r in got) == [0] * 30 + list(range(30, 60))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(40)] + [("s", f"t{i}") for i in range(30)] + [("x", "x"), (None, "y")]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a string, b string")).collect()}

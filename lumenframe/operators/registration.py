@@ -38,27 +38,32 @@ def turning(pose: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return ry @ rx @ rz, [ry @ rx @ dz, dy @ rx @ rz, ry @ dx @ rz]
 
 
-def likelihood(pose: np.ndarray, points: np.ndarray, dwell_at: np.ndarray, dwell: np.ndarray, rate: np.ndarray) -> tuple[float, np.ndarray]:
-    """Log likelihood per point of points under a pose, and its slope; 0 without points."""
+def likelihood(pose: np.ndarray, points: np.ndarray, dwell_at: np.ndarray, dwell: np.ndarray, rate: np.ndarray, count: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """Log likelihood per point of points under a pose, and its slope; 0 without points.  count: how many points each row stands for, or None for one."""
     if not len(points):
         return 0.0, np.zeros(6)
     m, parts = turning(pose)
+    count = np.ones(len(points)) if count is None else count
     value, slope = nonrigid.trilinear_slopes(rate, points @ m.T + pose[3:])
-    total, pull = float(np.log(value).sum()), slope / value[:, None]
+    total, pull = float((count * np.log(value)).sum()), slope * (count / value)[:, None]
     g = np.array([*(((points @ d.T) * pull).sum() for d in parts), *pull.sum(0)])
     if len(dwell):
         value, slope = nonrigid.trilinear_slopes(rate, dwell_at @ m.T + pose[3:])
         total -= float((dwell * value).sum())
         pull = slope * dwell[:, None]
         g -= np.array([*(((dwell_at @ d.T) * pull).sum() for d in parts), *pull.sum(0)])
-    return total / len(points), g / len(points)
+    return total / count.sum(), g / count.sum()
+
+
+def _under(pose: np.ndarray, frame: tuple, rate: np.ndarray) -> tuple[float, np.ndarray]:
+    return likelihood(pose, *frame[:3], rate, *frame[3:])
 
 
 def single(start: np.ndarray, frame: tuple, rate: np.ndarray, free=FREE, steps: int = 40) -> tuple[np.ndarray, float]:
-    """The best pose within `free` of a start, and its log likelihood per point; frame: points, places of dwell, dwell."""
+    """The best pose within `free` of a start, and its log likelihood per point; frame: points, places of dwell, dwell and, if points are counted, their counts."""
 
     def f(x):
-        v, g = likelihood(x, *frame, rate)
+        v, g = _under(x, frame, rate)
         return -v, -g
 
     pose, value = descent.minimised(f, start, start - np.array(free), start + np.array(free), steps)
@@ -69,7 +74,7 @@ def all_around(frame: tuple, rate: np.ndarray, turns: int = TURNS) -> np.ndarray
     """The best pose of a frame whose turn about z is not known: from starts all around, each with the shift that brings its middle to the template's."""
     at = np.stack(np.meshgrid(*map(np.arange, rate.shape), indexing="ij"), -1).reshape(-1, 3)
     w = rate.ravel() - rate.min()
-    middle, own = (w @ at) / max(w.sum(), 1e-300), frame[0].mean(0)
+    middle, own = (w @ at) / max(w.sum(), 1e-300), np.average(frame[0], 0, *frame[3:])
     tried = []
     for k in range(turns):
         pose = np.array([2 * math.pi * k / turns, 0, 0, 0, 0, 0.0])
@@ -86,7 +91,7 @@ def linked(frames: list[tuple], starts: np.ndarray, rate: np.ndarray, stiffness:
 
     def f(x):
         p = x.reshape(n, 6)
-        each = [likelihood(a, *frame, rate) for a, frame in zip(p, frames, strict=True)]
+        each = [_under(a, frame, rate) for a, frame in zip(p, frames, strict=True)]
         value, slope = -sum(v for v, _ in each), -np.stack([g for _, g in each])
         d = np.diff(p, axis=0)
         value += float((stiffness * d * d).sum())
@@ -125,10 +130,14 @@ def in_order(frames: list[tuple], rate: np.ndarray, stiffness: np.ndarray) -> np
 
 
 def _rows(points: DataFrame, frame: str, axes, dwell: DataFrame | None, dwelt: str) -> DataFrame:
-    rows = points.select(F.col(frame).cast("long").alias("frame"), *(F.col(a).cast("double").alias(a) for a in axes), F.lit(None).cast("double").alias("_v"))
+    """Places of each frame with `_n`, their points, or `_v`, their dwell: equal places of a frame are one row, since the objective is a sum over them."""
+    at = [F.col(frame).cast("long").alias("frame"), *(F.col(a).cast("double").alias(a) for a in axes)]
+    places = lambda rows: rows.dropna(subset=["frame", *axes]).groupBy("frame", *axes)
+    rows = places(points.select(*at)).agg(F.count("*").alias("_n"), F.lit(None).cast("double").alias("_v"))
     if dwell is not None:
-        rows = rows.unionByName(dwell.select(F.col(frame).cast("long").alias("frame"), *(F.col(a).cast("double").alias(a) for a in axes), F.col(dwelt).cast("double").alias("_v")).where("_v > 0"))
-    return rows.dropna(subset=["frame", *axes])
+        dwells = places(dwell.select(*at, F.col(dwelt).cast("double").alias("_v")).where("_v > 0"))
+        rows = rows.unionByName(dwells.agg(F.lit(None).cast("long").alias("_n"), F.sum("_v").alias("_v")))
+    return rows
 
 
 def _frames(d: pd.DataFrame, axes, numbers) -> list[tuple]:
@@ -136,11 +145,11 @@ def _frames(d: pd.DataFrame, axes, numbers) -> list[tuple]:
     out = []
     for n in numbers:
         if n not in by:
-            out.append((np.zeros((0, 3)), np.zeros((0, 3)), np.zeros(0)))
+            out.append((np.zeros((0, 3)), np.zeros((0, 3)), np.zeros(0), np.zeros(0)))
             continue
         own = by[n]["_v"].isna().to_numpy()
         at = by[n][list(axes)].to_numpy(float)
-        out.append((at[own], at[~own], by[n]["_v"].to_numpy(float)[~own]))
+        out.append((at[own], at[~own], by[n]["_v"].to_numpy(float)[~own], by[n]["_n"].to_numpy(float)[own]))
     return out
 
 
@@ -151,8 +160,8 @@ def _shared(points: DataFrame, template: np.ndarray):
 
 
 def _told(numbers, poses, frames, rate, **more) -> pd.DataFrame:
-    fit = [likelihood(p, *f, rate)[0] if len(f[0]) else None for p, f in zip(poses, frames, strict=True)]
-    return pd.DataFrame({**more, "frame": list(numbers), "pvec": [p.tolist() for p in poses], "fit": fit, "n": [len(f[0]) for f in frames]})
+    fit = [_under(p, f, rate)[0] if len(f[0]) else None for p, f in zip(poses, frames, strict=True)]
+    return pd.DataFrame({**more, "frame": list(numbers), "pvec": [p.tolist() for p in poses], "fit": fit, "n": [int(f[3].sum()) for f in frames]})
 
 
 _POSE = "frame long, pvec array<double>, fit double, n long"
@@ -198,7 +207,8 @@ def chained(each: DataFrame, width: int, half: int) -> tuple[DataFrame, DataFram
 def stitched(points: DataFrame, frame: str, axes: tuple[str, str, str], template: np.ndarray, dwell: DataFrame | None = None, dwelt: str = "dwell", width: int = 300, half: int = 30, stiffness=(1.0,) * 6, bound: int = 5_000_000) -> tuple[DataFrame, DataFrame]:
     """frame, pvec, fit and n of all frames, and the overlaps of `chained`: segments, joined where they overlap.
 
-    Frames are whole numbers; those without points have no row.  A segment, or the frames around a border, is one task of `bound` rows at most.
+    Frames are whole numbers; those without points have no row.  A segment, or the frames around a border, is one task of `bound` rows at most,
+    where points of a frame at one place are one row.
     """
     shared = _shared(points, template)
     first, border = chained(kept(segments(points, frame, axes, template, dwell, dwelt, width, half, stiffness, bound)), width, half)
@@ -223,7 +233,7 @@ def stitched(points: DataFrame, frame: str, axes: tuple[str, str, str], template
         others = {int(r.frame): np.array(r.other) for r in known.itertuples() if r.other is not None}
         for n, frame_ in zip(numbers, frames, strict=True):
             tried = [x for x in (poses[n], others.get(n)) if x is not None]
-            best = max(tried, key=lambda x: likelihood(x, *frame_, rate)[0])  # noqa: B023
+            best = max(tried, key=lambda x: _under(x, frame_, rate)[0])  # noqa: B023
             starts.append(best)
         outside = [poses.get(min(numbers) - 1), poses.get(max(numbers) + 1)]
         for i in range(1, len(starts)):

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lumenframe.operators import fits, nonrigid, registration
 
@@ -86,3 +87,28 @@ def test_single_frames_are_found_near_their_pose_with_dwell(spark):
 
 def test_turns():
     assert registration.near_turn(0.1, 6.4) == pytest.approx(0.1 + 2 * math.pi) and registration.near_turn(0.1, 0.2) == pytest.approx(0.1)
+
+
+def test_equal_points_of_a_frame_are_one_row_of_the_bound(spark):
+    rng = np.random.default_rng(3)
+    rate = nonrigid.floored(bright())
+    pose, p, many = np.array([0.2, 0.02, -0.03, 0.5, -0.5, 0.2]), rng.uniform([2, 2, 1], [20, 16, 5], (40, 3)), rng.integers(1, 9, 40)
+    q, v = rng.uniform([2, 2, 1], [20, 16, 5], (9, 3)), rng.uniform(0, 2, 9)
+    each, counted = registration.likelihood(pose, np.repeat(p, many, 0), q, v, rate), registration.likelihood(pose, p, q, v, rate, many.astype(float))
+    assert each[0] == pytest.approx(counted[0]) and np.allclose(each[1], counted[1])
+    # voxels, so that places repeat: four times the points are as many places, poses and fits, and four times n
+    at = pd.DataFrame(np.stack(np.unravel_index(rng.choice(rate.size, 1200, p=rate.ravel() / rate.sum()), rate.shape), 1), columns=AXES)
+    at["frame"] = np.arange(1200) // 200
+    points = spark.createDataFrame(at)
+    dwell = spark.createDataFrame([(k, 5.0, 5.0, 2.0, 0.5) for k in range(6) for _ in range(2)], "frame long, x double, y double, z double, dwell double")
+    four = points.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    bound = len(at.drop_duplicates()) + 6 + 8  # 8: rows of poses around the border
+    told = lambda rows, **more: registration.segments(rows, "frame", AXES, bright(), dwell, width=3, half=1, **more).orderBy("segment", "frame").toPandas()
+    once = told(points)
+    assert once.n.tolist() == [200] * 8
+    again, _ = registration.stitched(four, "frame", AXES, bright(), width=3, half=1, bound=bound)
+    assert again.agg(F.sum("n")).first()[0] == 4800 and again.count() == 6
+    # without dwell the objective is a mean over points
+    free = lambda rows: registration.segments(rows, "frame", AXES, bright(), width=3, half=1, bound=bound).orderBy("segment", "frame").toPandas()
+    one, more = free(points), free(four)
+    assert np.allclose(np.stack(one.pvec), np.stack(more.pvec), atol=1e-3) and np.allclose(one.fit, more.fit, atol=1e-5) and (more.n == 4 * one.n).all()

@@ -53,7 +53,8 @@ UNION ALL SELECT voi, 'wedge', ix, iy, iz FROM c, g WHERE x + y <= cx + cy AND -
 def voi_masks(spark, sf_dir):
     """Voxels of a sphere, a cylinder and a wedge about the mean place of each supplier's points."""
     t = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("voi"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_tax") * 100).alias("z"))
-    centres = t.groupBy("voi").agg(*(F.round(F.avg(a), 3).alias(f"c{a}") for a in "xyz"))
+    mean = lambda a: F.round(F.avg(a) * 1000) / 1000  # noqa: E731  as SQL rounds: 4.0375 becomes 4.037, since its product with 1000 is below 4037.5
+    centres = t.groupBy("voi").agg(*(mean(a).alias(f"c{a}") for a in "xyz"))
     (x, y, z), at = (F.col(a) for a in "xyz"), tuple(F.col(f"c{a}") for a in "xyz")
     kinds = {
         "sphere": geometry.in_sphere(x, y, z, at, 7),

@@ -2,11 +2,13 @@
 
 from itertools import combinations, permutations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.operators import geometry, hulls
+from lumenframe.plans import catalog, hull_queries  # noqa: F401  (it adds to the catalog)
 
 
 def sets(rng, k):
@@ -123,3 +125,14 @@ def test_hulls_of_tables(spark):
     box = hulls.least_rectangle(a, ["k"], "x", "y").first()
     assert box.area == pytest.approx(rectangle_by_brute_force(np.array(edge), "area"))
     assert hulls.facets(df.limit(0), ["k"], "x", "y", "z").count() == 0
+
+
+def test_masks_about_a_mean_that_is_a_rounding_tie(spark, tmp_path):
+    tax = [5] * 3 + [4] * 77  # on average 4.0375, which SQL rounds to 4.037
+    rows = [(1, 16.0 if i < 39 else 15.0, (6 if i < 17 else 5) / 100, z / 100) for i, z in enumerate(tax)]
+    spark.createDataFrame(rows, "l_suppkey long, l_quantity double, l_discount double, l_tax double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(f"SELECT voi, kind, ix, iy, iz FROM ({catalog.ORACLE_SQL['voi_masks']})").fetchall()
+    got = catalog.QUERIES["voi_masks"](spark, str(tmp_path)).select("voi", "kind", "ix", "iy", "iz")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
